@@ -33,6 +33,8 @@ BINS = 10
 EDGE_MARGIN = 1e-10
 
 KEY, TIE, REST, BIN = "__key", "__tie", "__rest", "__bin"
+# Rows per distinct value from which values are counted before rows are sorted.
+_MANY_PER_VALUE = 20
 # Copies of one row are handed out again in batches of this many.
 _COPY_BATCH = 65_536
 
@@ -193,10 +195,11 @@ def _equal_count(df: DataFrame, sortable: int) -> tuple[EqualCount, int]:
     probs = [i / BINS for i in range(BINS + 1)]
     last_ranks = [i * (s.rows - 1) // BINS for i in range(1, BINS)]
     by_value = {rank for p in probs for rank in quantile_ranks(p, s.rows)[:2]}
+    few_values = s.distinct * _MANY_PER_VALUE <= s.rows
     # The hash is only needed without a tie-break, or where the tie-break leaves rows tied.
     chains = [[KEY, TIE], [KEY, TIE, REST]] if TIE in df.columns else [[KEY, REST]]
     for keys in chains:
-        found = positions(df.select(*keys), keys, s.rows, last_ranks, by_value, sortable)
+        found = positions(df.select(*keys), keys, s.rows, last_ranks, by_value, sortable, few_values)
         cuts = tuple(found[r] for r in last_ranks)
         if all(rank == cut.last for rank, cut in zip(last_ranks, cuts)):
             break

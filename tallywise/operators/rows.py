@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import require_columns, require_direction, require_limit
 from ..functions.missing import col, present
 from ..functions.predicates import Predicate
-from ..sources.position import POSITION_COLUMNS, leading_files, position_of
+from ..sources.position import POSITION_COLUMNS, leading_files, position_of, with_position
 
 
 def view(df: DataFrame) -> DataFrame:
@@ -49,13 +48,18 @@ def sort_key(c: Column, ascending: bool) -> Column:
 
 
 def order_by(df: DataFrame, column: str, direction: str = "ASC", tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Sort by one column; ``tiebreak`` columns (ascending) settle equal values."""
+    """Sort by one column; ``tiebreak`` columns (ascending) settle equal values.
+
+    The last key is the task that read the row. It leaves equal rows apart in the range
+    partitioning, so a value that fills a third of the table is sorted by many tasks.
+    """
+    return df.orderBy(*_sort_keys(df, column, direction, tiebreak), F.spark_partition_id())
+
+
+def _sort_keys(df: DataFrame, column: str, direction: str, tiebreak: Sequence[str]) -> list[Column]:
     require_columns(df, [column, *tiebreak])
     ascending = require_direction(direction)
-    return df.orderBy(
-        sort_key(present(df, column), ascending),
-        *[sort_key(present(df, t), True) for t in tiebreak],
-    )
+    return [sort_key(present(df, column), ascending), *[sort_key(present(df, t), True) for t in tiebreak]]
 
 
 def limit(df: DataFrame, n: int | str) -> DataFrame:
@@ -65,23 +69,16 @@ def limit(df: DataFrame, n: int | str) -> DataFrame:
     hold n matching rows. A table without files of its own keeps the order of its partitions.
     """
     n = require_limit(n)
-    try:
-        position = position_of(df)
-    except AnalysisException:
+    if position_of(df) is None:
         return df.limit(n)
-    return _first(leading_files(df, n), position, n)
-
-
-def _first(df: DataFrame, position: list[Column], n: int) -> DataFrame:
-    names = df.columns
-    placed = df.select("*", *[p.alias(c) for p, c in zip(position, POSITION_COLUMNS)])
-    return placed.orderBy(*POSITION_COLUMNS).limit(n).select(*[col(c) for c in names])
+    first = with_position(leading_files(df, n)).orderBy(*POSITION_COLUMNS).limit(n)
+    return first.select(*[col(c) for c in df.columns])
 
 
 def top_k(df: DataFrame, column: str, direction: str, n: int | str, tiebreak: Sequence[str] = ()) -> DataFrame:
     """The first n rows after sorting; pass a unique ``tiebreak`` for a repeatable result."""
     n = require_limit(n)
-    return order_by(df, column, direction, tiebreak).limit(n)
+    return df.orderBy(*_sort_keys(df, column, direction, tiebreak)).limit(n)
 
 
 def show(
@@ -101,16 +98,15 @@ def show(
     rows = df if where is None else df.filter(condition(df, where))
     shown = project(rows, columns)
     count = None if limit is None else require_limit(limit)
-    ascending = require_direction(direction)
+    require_direction(direction)
     if order_by is None:
         return shown if count is None else project(_limit(rows, count), columns)
     if order_by not in shown.columns:
         raise ValueError(f"sort column {order_by!r} is not among the selected columns")
-    require_columns(df, tiebreak)
-    keys = [sort_key(present(rows, order_by), ascending)]
-    keys += [sort_key(present(rows, t), True) for t in tiebreak]
-    ordered = rows.orderBy(*keys)
-    return project(ordered if count is None else ordered.limit(count), columns)
+    if count is None:
+        return project(_order_by(rows, order_by, direction, tiebreak), columns)
+    return project(top_k(rows, order_by, direction, count, tiebreak), columns)
 
 
-_limit = limit
+# The names that arguments of ``show`` hide.
+_order_by, _limit = order_by, limit

@@ -89,27 +89,30 @@ def positions(
     ranks: Iterable[int],
     ranks_by_value: Iterable[int] = (),
     sortable: int = SORTABLE_ROWS,
+    few_values: bool = False,
 ) -> dict[int, Position]:
     """Locate 0-based ranks in the order given by ``keys``.
 
     ``keys`` are numeric columns without missing values and ``rows`` is the row count of
     ``df``. Ranks in ``ranks_by_value`` are only located by the first key, so that ties among
-    the later keys are never resolved for them.
+    the later keys are never resolved for them. ``few_values`` tells that the first key has
+    many rows per value, so that counting its values comes before sorting rows.
     """
     deep = set(ranks)
     wanted = sorted(deep | set(ranks_by_value))
     found: dict[int, Position] = {}
     pending = [_Region((), None, None, 0, rows, tuple(wanted))]
     while pending:
-        small = [r for r in pending if r.rows <= sortable]
-        large = [r for r in pending if r.rows > sortable]
-        if small:
-            found |= _sorted_positions(df, keys, small)
+        countable = [r for r in pending if r.unsplittable or (few_values and r.level == 0 and r.rows <= sortable)]
+        sortable_now = [r for r in pending if r.rows <= sortable and r not in countable]
+        if sortable_now:
+            found |= _sorted_positions(df, keys, sortable_now)
+        large = [r for r in pending if r not in sortable_now]
         if not large:
             break
         level = min(r.level for r in large)
         here = [r for r in large if r.level == level]
-        coarse = [r for r in here if r.unsplittable]
+        coarse = [r for r in here if r in countable]
         pending = [r for r in large if r.level > level]
         narrowed = []
         if coarse:
@@ -187,7 +190,7 @@ def _sorted_positions(df: DataFrame, keys: list[str], regions: list[_Region]) ->
 
 
 def _distinct_values(df: DataFrame, keys: list[str], regions: list[_Region]) -> list[_Region]:
-    """Split regions that span at most two doubles into the few integers that round to them."""
+    """Split regions into their distinct values, as far as ranks fall on them."""
     level = regions[0].level
     split = []
     for row in _running_counts(df, keys, regions, [keys[level]]):

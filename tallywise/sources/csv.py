@@ -16,6 +16,9 @@ FLOAT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 INFINITY = r"(?i)^[+-]?inf(inity)?$"
 BOOLEANS = ("true", "false")
 
+# What a text looks like; the shapes seen in a column are combined as bits.
+INT64, NEGATIVE, UINT64, HUGE, REAL, BOOLEAN, TEXT = (1 << i for i in range(7))
+
 _EXTRA = "_extra_field"
 _UINT64 = T.DecimalType(20, 0)
 _UINT64_MAX = Decimal(2**64 - 1)
@@ -72,15 +75,18 @@ def infer_types(df: DataFrame, reject: str | None = None) -> DataFrame:
     texts = [
         f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != reject
     ]
-    checks = [_evidence(name).alias(f"c{i}") for i, name in enumerate(texts)]
+    evidence = [
+        F.struct(F.count(col(name)).alias("values"), F.bit_or(_shape(name)).alias("shapes")).alias(f"c{i}")
+        for i, name in enumerate(texts)
+    ]
     if reject is not None:
-        checks.append(F.count(col(reject)).alias("surplus"))
-    if not checks:
+        evidence.append(F.count(col(reject)).alias("surplus"))
+    if not evidence:
         return df
-    seen = df.agg(F.count(F.lit(1)).alias("rows"), *checks).first()
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), *evidence).first()
     if reject is not None and seen["surplus"]:
         raise ValueError(f"{seen['surplus']} row(s) have more fields than the header")
-    chosen = {name: _choose(seen[f"c{i}"], seen["rows"]) for i, name in enumerate(texts)}
+    chosen = {name: _choose(seen[f"c{i}"]["shapes"], seen[f"c{i}"]["values"] < seen["rows"]) for i, name in enumerate(texts)}
     return df.select(
         *[
             _converted(f.name, chosen[f.name]).alias(f.name) if f.name in chosen else col(f.name)
@@ -90,34 +96,40 @@ def infer_types(df: DataFrame, reject: str | None = None) -> DataFrame:
     )
 
 
-def _evidence(name: str) -> Column:
+def _shape(name: str) -> Column:
+    """What one text looks like, as a bit; null for a missing value."""
     c = col(name)
-    integer = c.rlike(INTEGER)
-    wide = F.trim(c).try_cast(T.DecimalType(38, 0))
-    unsigned = wide.between(F.lit(0), F.lit(_UINT64_MAX))
-    float_text = c.rlike(FLOAT) & ~F.abs(c.try_cast("double")).isin(float("inf"))
-    return F.struct(
-        F.count(c).alias("values"),
-        F.bool_and(integer & c.try_cast("long").isNotNull()).alias("int64"),
-        F.bool_and(integer & F.coalesce(unsigned, F.lit(False))).alias("uint64"),
-        F.bool_and(integer).alias("integers"),
-        F.bool_and(float_text | c.rlike(INFINITY)).alias("floats"),
-        F.bool_and(F.lower(c).isin(*BOOLEANS)).alias("booleans"),
+    as_long = c.try_cast("long")
+    unsigned = F.trim(c).try_cast(T.DecimalType(38, 0)).between(F.lit(0), F.lit(_UINT64_MAX))
+    integer = (
+        F.when(as_long >= 0, F.lit(INT64))
+        .when(as_long < 0, F.lit(NEGATIVE))
+        .when(unsigned, F.lit(UINT64))
+        .otherwise(F.lit(HUGE))
+    )
+    finite = F.abs(c.try_cast("double")) != F.lit(float("inf"))
+    return (
+        F.when(c.rlike(INTEGER), integer)
+        .when(c.rlike(FLOAT) & finite, F.lit(REAL))
+        .when(c.rlike(INFINITY), F.lit(REAL))
+        .when(F.lower(c).isin(*BOOLEANS), F.lit(BOOLEAN))
+        .when(c.isNotNull(), F.lit(TEXT))
     )
 
 
-def _choose(evidence: Row, rows: int) -> T.DataType:
-    if not evidence["values"]:
+def _choose(shapes: int | None, has_missing: bool) -> T.DataType:
+    """The type for a column showing these shapes."""
+    if shapes is None:
         return T.DoubleType()
-    if evidence["integers"]:
-        if evidence["values"] < rows:
-            return T.DoubleType()
-        if evidence["int64"]:
-            return T.LongType()
-        return _UINT64 if evidence["uint64"] else T.StringType()
-    if evidence["floats"]:
+    if shapes == BOOLEAN:
+        return T.BooleanType()
+    if shapes & (BOOLEAN | TEXT):
+        return T.StringType()
+    if shapes & REAL or has_missing:
         return T.DoubleType()
-    return T.BooleanType() if evidence["booleans"] else T.StringType()
+    if not shapes & (UINT64 | HUGE):
+        return T.LongType()
+    return T.StringType() if shapes & (NEGATIVE | HUGE) else _UINT64
 
 
 def _converted(name: str, to: T.DataType) -> Column:

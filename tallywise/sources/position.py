@@ -2,33 +2,38 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # File path, then place within the file: (row, 0) for Parquet, (block start, row) for text.
 POSITION_COLUMNS = ("file_path", "file_block", "row_in_block")
+# Each further look at the leading files takes this many times more of them.
+_GROWTH = 8
 
 
-def position_of(df: DataFrame) -> list[Column]:
-    """Columns that order the rows of a file-backed table as its files do.
-
-    Raises AnalysisException when the table does not come straight from files.
-    """
-    path = F.col("_metadata.file_path")
+def position_of(df: DataFrame) -> list[Column] | None:
+    """Columns that order the rows of a file-backed table as its files do; None for other tables."""
+    if not df.inputFiles():
+        return None
     try:
-        row = F.col("_metadata.row_index")
-        df.select(row)
-        return [path, row, F.lit(0)]
-    except AnalysisException:
-        block = F.col("_metadata.file_block_start")
-        df.select(path, block)
-        return [path, block, F.monotonically_increasing_id()]
+        metadata = df.select("_metadata").schema[0].dataType.names
+    except AnalysisException:  # a join of tables, or an aggregate
+        return None
+    path = F.col("_metadata.file_path")
+    if "row_index" in metadata:
+        return [path, F.col("_metadata.row_index"), F.lit(0)]
+    return [path, F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
 
 
 def with_position(df: DataFrame) -> DataFrame:
     """Add the POSITION_COLUMNS; sorting by them restores file order."""
-    return df.select("*", *[p.alias(c) for p, c in zip(position_of(df), POSITION_COLUMNS)])
+    position = position_of(df)
+    if position is None:
+        raise ValueError("the table does not come straight from files")
+    return df.select("*", *[p.alias(c) for p, c in zip(position, POSITION_COLUMNS)])
 
 
 def leading_files(df: DataFrame, n: int) -> DataFrame:
@@ -37,16 +42,12 @@ def leading_files(df: DataFrame, n: int) -> DataFrame:
     Files are tried in growing batches, so a small limit on a large table opens few of them.
     Spark prunes the other files before the scan, because the path is file metadata.
     """
-    files = _paths(df)
+    # The listing and the metadata column write local paths with three slashes and with one.
+    files = sorted(re.sub("^file:/+", "file:/", path) for path in df.inputFiles())
     size = 1
     while size < len(files):
         head = df.filter(F.col("_metadata.file_path") <= F.lit(files[size - 1]))
         if head.limit(n).count() >= n:
             return head
-        size *= 8
+        size *= _GROWTH
     return df
-
-
-def _paths(df: DataFrame) -> list[str]:
-    """The table's files in the order in which ``_metadata.file_path`` sorts."""
-    return sorted(df.inputFiles())
