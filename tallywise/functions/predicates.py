@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from .checks import data_type, is_floating, is_numeric, require_columns
 from .missing import col
 
-# Above this magnitude neighbouring doubles are more than one apart.
-_EXACT_INTEGER = 2**53
+# Below this magnitude every integer is a double of its own.
+EXACT_INTEGER = 2**53
 
 
 class Predicate:
@@ -96,7 +96,7 @@ def _compare_number(c: Column, dt: T.DataType, op: str, value: float) -> Column:
         return F.lit(op == "ne")
     if isinstance(dt, T.BooleanType):
         c, dt = c.cast("int"), T.IntegerType()
-    if isinstance(dt, T.IntegralType) and abs(value) < _EXACT_INTEGER:
+    if isinstance(dt, T.IntegralType) and abs(value) < EXACT_INTEGER:
         return _compare_integer(c, op, value)
     literal = F.lit(value)
     if op in ("eq", "ne"):

@@ -33,8 +33,8 @@ BINS = 10
 EDGE_MARGIN = 1e-10
 
 KEY, TIE, REST, BIN = "__key", "__tie", "__rest", "__bin"
-# Rows per distinct value from which values are counted before rows are sorted.
-_MANY_PER_VALUE = 20
+# Distinct values and rows per value for which values are counted before rows are sorted.
+_FEW_VALUES, _MANY_PER_VALUE = 10_000, 20
 # Copies of one row are handed out again in batches of this many.
 _COPY_BATCH = 65_536
 
@@ -160,10 +160,12 @@ def equal_width_edges(low: float, high: float, distinct: int) -> tuple[float, ..
     """Edges of at most ten ranges of equal width, fewer if there are fewer distinct values."""
     if distinct < 2:
         raise ValueError(f"too few distinct values ({distinct}) for deciles")
+    if not np.isfinite([low, high]).all():
+        raise ValueError("deciles need a finite value range")
     edges = np.linspace(low, high, min(BINS, distinct) + 1)
     edges[-1] = high + EDGE_MARGIN
-    if not np.all(np.isfinite(edges)) or np.any(np.diff(edges) <= 0):
-        raise ValueError("deciles need a finite value range that can be divided")
+    if not np.all(np.diff(edges) > 0):
+        raise ValueError("deciles need a value range that can be divided")
     return tuple(float(e) for e in edges)
 
 
@@ -195,7 +197,7 @@ def _equal_count(df: DataFrame, sortable: int) -> tuple[EqualCount, int]:
     probs = [i / BINS for i in range(BINS + 1)]
     last_ranks = [i * (s.rows - 1) // BINS for i in range(1, BINS)]
     by_value = {rank for p in probs for rank in quantile_ranks(p, s.rows)[:2]}
-    few_values = s.distinct * _MANY_PER_VALUE <= s.rows
+    few_values = s.distinct <= _FEW_VALUES and s.distinct * _MANY_PER_VALUE <= s.rows
     # The hash is only needed without a tie-break, or where the tie-break leaves rows tied.
     chains = [[KEY, TIE], [KEY, TIE, REST]] if TIE in df.columns else [[KEY, REST]]
     for keys in chains:

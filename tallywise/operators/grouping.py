@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import UNDEFINED_WHEN_EMPTY, aggregate_column
-from .selection import SPLITS, bucketed, sketch_splits
+from .selection import SPLITS, bucketed, one_value_buckets, sketch_splits
 
 # Values of one group that a single task may hold to compute a median.
 MEDIAN_GROUP_ROWS = 1_000_000
@@ -38,20 +38,21 @@ def aggregate(
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
         if largest is not None and largest > group_rows:
-            return spread_median(df, keys, value, out, ranges=total // group_rows)
+            return spread_median(df, keys, value, out, total)
     return df.groupBy(*keys).agg(aggregate_column(F.col(value), agg).alias(out))
 
 
-def spread_median(df: DataFrame, keys: list[str], value: str, out: str, ranges: int = 0) -> DataFrame:
+def spread_median(df: DataFrame, keys: list[str], value: str, out: str, rows: int) -> DataFrame:
     """Exact median per group without bringing any group together.
 
-    Value ranges come from a sketch of the whole column, so a (group, range) cell holds a
+    Value ranges come from quantiles of the whole column, so a (group, range) cell holds a
     small share of the table however the groups are sized. Cells are counted, a running count
     per group finds the cells with the middle ranks, and only those cells' values are ordered.
-    ``ranges`` asks for more value ranges than the default, up to MEDIAN_RANGES.
+    ``rows`` is the size of ``df``; larger tables are cut into more ranges.
     """
-    ranges = min(max(ranges, SPLITS), MEDIAN_RANGES)
-    ranged = bucketed(df, value, sketch_splits(df.select(value), value, by=[], splits=ranges))
+    ranges = min(max(rows // MEDIAN_GROUP_ROWS, SPLITS), MEDIAN_RANGES)
+    splits = sketch_splits(df.select(value), value, [], rows, ranges)
+    ranged = bucketed(df, value, splits)
     cells = ranged.groupBy(*keys, "bucket").agg(
         F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")
     )
@@ -64,13 +65,14 @@ def spread_median(df: DataFrame, keys: list[str], value: str, out: str, ranges:
         .withColumn("right", F.floor(F.col("total") / 2))
         .filter(_holds("left") | _holds("right"))
     )
-    # Most cells hold one repeated value or are settled by their bounds; the rest are ordered.
+    # Cells of one value are settled by it; the others hold few rows each and are ordered.
     settled = middle.filter(F.col("low") == F.col("high")).select(
         *keys, *[F.when(_holds(r), F.col("low")).alias(r) for r in ("left", "right")]
     )
     open_cells = middle.filter(F.col("low") != F.col("high")).select(*keys, "bucket", "below", "left", "right")
     counts = (
-        ranged.join(open_cells, [*keys, "bucket"])
+        ranged.filter(~F.col("bucket").isin(one_value_buckets(splits)))
+        .join(open_cells, [*keys, "bucket"])
         .groupBy(*keys, "bucket", "below", "left", "right", value)
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -1,8 +1,8 @@
 """Exact order statistics of a distributed column, without sorting or moving the table.
 
-The question "which row has rank r?" is answered by narrowing. A rough quantile sketch
-proposes split points, one counting pass finds the bucket in which r falls, and only rows of
-that bucket are looked at again. What leaves the executors is a count per bucket; rows are
+The question "which row has rank r?" is answered by narrowing. Rough quantiles of a sample
+propose split points, one counting pass over all rows finds the bucket in which r falls, and
+only rows of that bucket are looked at again. What leaves the executors is a count per bucket; rows are
 sorted only once the bucket holds few enough of them for one ordinary task. A value that is
 repeated so often that it fills a bucket alone is resolved by the next key of the chain.
 """
@@ -18,6 +18,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import EXACT_INTEGER
+
 # Rows that one task may sort in the last step of a narrowing.
 SORTABLE_ROWS = 1_000_000
 # Split points proposed per narrowing pass, and the sketch's precision relative to their distance.
@@ -25,6 +27,8 @@ SPLITS = 512
 SKETCH_PRECISION = 4
 # Sketches are merged by this many tasks before the driver combines their quantiles.
 SKETCH_TASKS = 64
+# Rows sampled per proposed split. Only where to split comes from the sample, never a result.
+SAMPLED_PER_SPLIT = 2_000
 
 
 @dataclass(frozen=True)
@@ -206,7 +210,7 @@ def _narrow(df: DataFrame, keys: list[str], level: int, regions: list[_Region])
     """One sketch pass and one counting pass: regions shrink to the buckets holding their ranks."""
     key = keys[level]
     rows = _tagged(df, keys, regions)
-    splits = sketch_splits(rows, key, by=["region"])
+    splits = sketch_splits(rows, key, by=["region"], rows=min(r.rows for r in regions))
     for region in regions:
         if region.bounded:
             splits |= {float(region.low), math.nextafter(float(region.low), math.inf), float(region.high)}
@@ -227,12 +231,16 @@ def _narrow(df: DataFrame, keys: list[str], level: int, regions: list[_Region])
     return narrowed
 
 
-def sketch_splits(df: DataFrame, key: str, by: list[str], splits: int = SPLITS) -> set[float]:
+def sketch_splits(df: DataFrame, key: str, by: list[str], rows: int, splits: int = SPLITS) -> set[float]:
     """Approximate quantiles of ``key`` per group of ``by`` (a few groups), as split points.
 
-    Task outputs are sketched in SKETCH_TASKS reducers, not in one, and their quantiles are
-    combined by weight. A value that repeats among the quantiles gets a bucket of its own.
+    A sample suffices when each group has at least ``rows`` rows and these are plenty. Task
+    outputs are sketched in SKETCH_TASKS reducers, not in one, and their quantiles are combined
+    by weight. A value that repeats among the quantiles gets a bucket of its own.
     """
+    share = splits * SAMPLED_PER_SPLIT / max(rows, 1)
+    if share < 1:
+        df = df.sample(share)
     grid = ", ".join(f"{i / splits}D" for i in range(splits + 1))
     sketches = (
         df.select(*by, F.col(key).cast("double").alias("k"), F.spark_partition_id().alias("task"))
@@ -260,10 +268,24 @@ def sketch_splits(df: DataFrame, key: str, by: list[str], splits: int = SPLITS)
     return points
 
 
+def bucket_bounds(splits: Iterable[float]) -> list[float]:
+    """Increasing bounds; bucket i holds the keys from bound i up to, but without, bound i + 1."""
+    inner = sorted(s for s in set(splits) if math.isfinite(s))
+    return [-math.inf, *(inner or [0.0]), math.inf]
+
+
+def one_value_buckets(splits: Iterable[float]) -> list[int]:
+    """Buckets that can only hold a single value: those between two adjacent doubles."""
+    bounds = bucket_bounds(splits)
+    return [
+        i
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:]))
+        if abs(a) < EXACT_INTEGER and math.nextafter(a, math.inf) == b
+    ]
+
+
 def bucketed(df: DataFrame, key: str, splits: Iterable[float]) -> DataFrame:
     """Add ``bucket``: a pure, order-preserving function of ``key`` by binary search in the splits."""
-    inner = sorted(s for s in set(splits) if math.isfinite(s))
-    bounds = [-math.inf, *(inner or [0.0]), math.inf]
     with_double = df.withColumn("bucket_key", F.col(key).cast("double"))
-    stage = Bucketizer(splits=bounds, inputCol="bucket_key", outputCol="bucket")
+    stage = Bucketizer(splits=bucket_bounds(splits), inputCol="bucket_key", outputCol="bucket")
     return stage.transform(with_double).drop("bucket_key")

@@ -125,11 +125,11 @@ def _choose(shapes: int | None, has_missing: bool) -> T.DataType:
         return T.BooleanType()
     if shapes & (BOOLEAN | TEXT):
         return T.StringType()
-    if shapes & REAL or has_missing:
+    if shapes & REAL:
         return T.DoubleType()
-    if not shapes & (UINT64 | HUGE):
-        return T.LongType()
-    return T.StringType() if shapes & (NEGATIVE | HUGE) else _UINT64
+    if shapes & (UINT64 | HUGE):
+        return T.StringType() if has_missing or shapes & (NEGATIVE | HUGE) else _UINT64
+    return T.DoubleType() if has_missing else T.LongType()
 
 
 def _converted(name: str, to: T.DataType) -> Column:
