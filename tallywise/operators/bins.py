@@ -10,10 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,20 +22,19 @@ from ..functions.missing import col, is_present, present
 from ..functions.predicates import Predicate
 from .crosstab import CELL, LABEL, VALUE, spread, value_column
 from .grouping import aggregate
+from .parts import REST, TIE, Parts, divide, hashable, sql_number, tie_keys
 from .rows import sort_key
 from .rows import where as keep
-from .selection import SORTABLE_ROWS, Position, positions
-from .statistics import Fence, interpolate, quantile_ranks, quantiles_of, sortable_number, summarise
+from .selection import SORTABLE_ROWS
+from .statistics import Fence, interpolate, quantile_ranks, quantiles_of, summarise
 
 BINS = 10
 # The last equal-width edge lies this much above the largest value.
 EDGE_MARGIN = 1e-10
 
-KEY, TIE, REST, BIN = "__key", "__tie", "__rest", "__bin"
+KEY, BIN = "__key", "__bin"
 # Distinct values and rows per value for which values are counted before rows are sorted.
 _FEW_VALUES, _MANY_PER_VALUE = 10_000, 20
-# Copies of one row are handed out again in batches of this many.
-_COPY_BATCH = 65_536
 
 
 @dataclass(frozen=True)
@@ -62,94 +60,16 @@ class EqualCount:
     """Ten bins of equal size, cut at the row positions of the 10%, 20%, ... quantiles."""
 
     edges: tuple[float, ...]
-    cuts: tuple[Position, ...]
-    last_ranks: tuple[int, ...]
-    rows: int
-    keys: tuple[str, ...]
+    parts: Parts
 
     count = BINS
 
     def assign(self, df: DataFrame) -> DataFrame:
-        torn = [
-            cut
-            for cut in dict.fromkeys(self.cuts)
-            if any(cut.first <= rank < cut.last for rank in self.last_ranks)
-        ]
-        if not torn:
-            return df.withColumn(BIN, self._number())
-        at_cut = [self._equals(cut) for cut in torn]
-        apart = df.filter(~reduce(lambda a, b: a | b, at_cut)).withColumn(BIN, self._number())
-        copies = self._hand_out(df, torn, at_cut)
-        return apart.unionByName(copies)
+        return self.parts.assign(df, BIN)
 
     def labels(self) -> list[str]:
         return bin_labels(self.edges, [f"P{i * 10}" for i in range(self.count)])
 
-    def _number(self) -> Column:
-        passed = " + ".join(f"int({self._after(cut)})" for cut in self.cuts)
-        return F.expr(f"coalesce(1 + {passed}, {self.count})")
-
-    def _after(self, cut: Position) -> str:
-        """SQL test: the row comes after the cut in the order of the keys."""
-        test = ""
-        for name, value in reversed(list(zip(self.keys, cut.keys))):
-            v = sql_number(value)
-            test = f"({name} > {v} OR ({name} = {v} AND {test}))" if test else f"{name} > {v}"
-        return test
-
-    def _equals(self, cut: Position) -> Column:
-        return reduce(lambda a, b: a & b, [F.col(n) == F.lit(v) for n, v in zip(self.keys, cut.keys)])
-
-    def _hand_out(self, df: DataFrame, torn: list[Position], at_cut: list[Column]) -> DataFrame:
-        """Split identical rows that straddle a cut by their number, whichever copy goes where.
-
-        Copies are counted (combining on the map side), the count is divided among the bins,
-        and the rows are repeated in batches that spread over all tasks.
-        """
-        names = df.columns
-        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        first = F.coalesce(*[F.when(t, F.lit(c.first)) for t, c in zip(at_cut, torn)])
-        counted = (
-            df.filter(reduce(lambda a, b: a | b, at_cut))
-            .withColumn("first", first)
-            .groupBy("first", *[col(n) for n in names])
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        # More than one distinct row per cut only if their hashes collide.
-        running = Window.partitionBy("first").orderBy(*[col(n) for n in names])
-        upto = F.sum("n").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        placed = counted.withColumn("end", F.col("first") + upto).withColumn("start", F.col("end") - F.col("n"))
-        bounds = [0, *[r + 1 for r in self.last_ranks], self.rows]
-        shares = F.array(
-            *[
-                F.struct(
-                    F.lit(i + 1).alias("number"),
-                    (
-                        F.least(F.col("end"), F.lit(bounds[i + 1])) - F.greatest(F.col("start"), F.lit(bounds[i]))
-                    ).alias("size"),
-                )
-                for i in range(self.count)
-            ]
-        )
-        share = F.col("share")
-        batches = F.sequence(F.lit(0).cast("long"), F.floor((share["size"] - 1) / _COPY_BATCH))
-        repeat = F.least(F.lit(_COPY_BATCH), share["size"] - F.col("batch") * _COPY_BATCH)
-        return (
-            placed.withColumn("share", F.explode(shares))
-            .filter(share["size"] > 0)
-            .withColumn("batch", F.explode(batches))
-            .repartition(tasks, "batch", share["number"])
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), repeat.cast("int"))))
-            .select(*[col(n) for n in names], share["number"].alias(BIN))
-        )
-
-
-def sql_number(value: float | int) -> str:
-    """A literal that Spark reads back as exactly this number."""
-    if isinstance(value, int):
-        return f"{value}L"
-    return f"{value!r}D" if np.isfinite(value) else f"double('{value}')"
-
 
 def bin_labels(edges: Sequence[float], names: Sequence[str]) -> list[str]:
     """Texts such as "D1 [0.0000, 9.5000)", one per bin."""
@@ -198,37 +118,10 @@ def _equal_count(df: DataFrame, sortable: int) -> tuple[EqualCount, int]:
     last_ranks = [i * (s.rows - 1) // BINS for i in range(1, BINS)]
     by_value = {rank for p in probs for rank in quantile_ranks(p, s.rows)[:2]}
     few_values = s.distinct <= _FEW_VALUES and s.distinct * _MANY_PER_VALUE <= s.rows
-    # The hash is only needed without a tie-break, or where the tie-break leaves rows tied.
-    chains = [[KEY, TIE], [KEY, TIE, REST]] if TIE in df.columns else [[KEY, REST]]
-    for keys in chains:
-        found = positions(df.select(*keys), keys, s.rows, last_ranks, by_value, sortable, few_values)
-        cuts = tuple(found[r] for r in last_ranks)
-        if all(rank == cut.last for rank, cut in zip(last_ranks, cuts)):
-            break
+    keys = [k for k in (KEY, TIE, REST) if k in df.columns]
+    parts, found = divide(df, keys, last_ranks, s.rows, by_value, sortable, few_values)
     edges = tuple(interpolate(p, s.rows, found) for p in probs)
-    return EqualCount(edges, cuts, tuple(last_ranks), s.rows, tuple(keys)), s.rows
-
-
-def _tie_keys(df: DataFrame, tiebreak: str | Sequence[str] | None, rest: Sequence[str]) -> list[Column]:
-    """Numeric keys that order rows of equal value: the tie-break, then a hash of ``rest``."""
-    keys = []
-    names = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak or [])
-    require_columns(df, names)
-    if names:
-        dt = data_type(df, names[0])
-        c = col(names[0])
-        if len(names) > 1 or not isinstance(dt, (T.NumericType, T.TimestampType, T.DateType)):
-            key = F.xxhash64(*[col(n) for n in names])
-        elif isinstance(dt, T.TimestampType):
-            key = F.coalesce(F.unix_micros(c), F.lit(-(2**63)))
-        elif isinstance(dt, T.DateType):
-            key = F.coalesce(F.unix_date(c).cast("long"), F.lit(-(2**63)))
-        elif isinstance(dt, T.IntegralType):
-            key = F.coalesce(c.cast("long"), F.lit(-(2**63)))
-        else:
-            key = F.coalesce(sortable_number(df, names[0]), F.lit(float("-inf")))
-        keys.append(key.alias(TIE))
-    return [*keys, F.xxhash64(*[col(n) for n in rest]).alias(REST)]
+    return EqualCount(edges, parts), s.rows
 
 
 def _bin_key(df: DataFrame, column: str) -> Column:
@@ -268,7 +161,7 @@ def equal_count_bins(
     number only.
     """
     _check_bin_column(df, column)
-    ties = _tie_keys(df, tiebreak, df.columns)
+    ties = tie_keys(df, tiebreak, hashable(df))
     keyed = df.filter(is_present(df, column)).select("*", _bin_key(df, column), *ties)
     rows = _survivors(keyed, ignore_outliers, sortable)
     bins, _ = _equal_count(rows, sortable)
@@ -329,7 +222,7 @@ def percentiles(
     rest = [value] + ([pivot_column] if pivot_column is not None else [])
     _check_bin_column(df, column)
     require_columns(df, rest)
-    ties = _tie_keys(df, tiebreak, rest)
+    ties = tie_keys(df, tiebreak, rest)
     slim, agg = _slim(df, column, value, agg, pivot_column, where, order_by, direction, limit, ties)
     rows = _survivors(slim, ignore_outliers, sortable)
     bins, count = _equal_count(rows, sortable)

@@ -6,11 +6,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.checks import require_columns, require_direction, require_limit
+from ..functions.checks import data_type, require_columns, require_direction, require_limit
 from ..functions.missing import col, present
 from ..functions.predicates import Predicate
-from ..sources.position import POSITION_COLUMNS, leading_files, position_of, with_position
+from ..sources.position import POSITION_COLUMNS, has_row_index, leading_files, position_of, with_position
+from .parts import first_part, has_number_key, hashable, number_key, tie_keys
+from .selection import positions
+
+# Largest limit for which every task may hand that many rows to a single one.
+GATHERED_ROWS = 10_000
+_KEY = "__sort_key"
 
 
 def view(df: DataFrame) -> DataFrame:
@@ -71,14 +78,54 @@ def limit(df: DataFrame, n: int | str) -> DataFrame:
     n = require_limit(n)
     if position_of(df) is None:
         return df.limit(n)
-    first = with_position(leading_files(df, n)).orderBy(*POSITION_COLUMNS).limit(n)
+    head = leading_files(df, n)
+    if n > GATHERED_ROWS and has_row_index(df):
+        first = with_position(_before_cut(head, n)).orderBy(*POSITION_COLUMNS)
+    else:
+        first = with_position(head).orderBy(*POSITION_COLUMNS).limit(n)
     return first.select(*[col(c) for c in df.columns])
 
 
+def _before_cut(head: DataFrame, n: int) -> DataFrame:
+    """The first n rows as a filter: whole files, and one file up to a row index."""
+    path, index = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    before = 0
+    for file, rows in sorted(tuple(r) for r in head.groupBy(path).agg(F.count(F.lit(1))).collect()):
+        if before + rows >= n:
+            rank = n - before - 1
+            in_file = head.filter(path == F.lit(file)).select(index.alias("index"))
+            cut = positions(in_file, ["index"], rows, [rank])[rank].keys[0]
+            return head.filter((path < F.lit(file)) | ((path == F.lit(file)) & (index <= F.lit(cut))))
+        before += rows
+    return head
+
+
 def top_k(df: DataFrame, column: str, direction: str, n: int | str, tiebreak: Sequence[str] = ()) -> DataFrame:
     """The first n rows after sorting; pass a unique ``tiebreak`` for a repeatable result."""
     n = require_limit(n)
-    return df.orderBy(*_sort_keys(df, column, direction, tiebreak)).limit(n)
+    keys = _sort_keys(df, column, direction, tiebreak)
+    numeric_keys = all(has_number_key(data_type(df, c)) for c in [column, *tiebreak])
+    if n > GATHERED_ROWS and numeric_keys and len(tiebreak) <= 1:
+        ahead = _large_top(df, column, require_direction(direction), n, tiebreak)
+        return order_by(ahead, column, direction, tiebreak)
+    return df.orderBy(*keys).limit(n)
+
+
+def _large_top(df: DataFrame, column: str, ascending: bool, n: int, tiebreak: Sequence[str]) -> DataFrame:
+    """The rows of a large top-k by comparison with the k-th row, rather than by gathering k rows."""
+    key = number_key(df, column)
+    if not ascending:
+        whole = isinstance(df.select(key).schema[0].dataType, T.LongType)
+        key = F.bitwise_not(key) if whole else -key
+    keyed = df.select("*", key.alias(_KEY), *tie_keys(df, tiebreak, hashable(df)))
+    keys = keyed.columns[len(df.columns) :]
+    valued = keyed.filter(F.col(_KEY).isNotNull())
+    count = valued.count()
+    if count >= n:
+        first = first_part(valued, keys, n)
+    else:
+        first = valued.unionByName(first_part(keyed.filter(F.col(_KEY).isNull()), keys[1:], n - count))
+    return first.select(*[col(c) for c in df.columns])
 
 
 def show(

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.checks import data_type, require_columns, require_numeric
 from ..functions.missing import col, drop_missing, is_present, number, present
+from .parts import number_key
 from .selection import SORTABLE_ROWS, Position, positions
 
 # An estimate above this proves that a column has more than ten distinct values: the sketch
@@ -62,13 +63,6 @@ def summarise(df: DataFrame, name: str) -> Summary:
     return Summary(row["rows"], row["low"], row["high"], distinct)
 
 
-def sortable_number(df: DataFrame, name: str):
-    """A numeric column as a selection key: integers stay exact, the rest become doubles."""
-    dt = data_type(df, name)
-    c = number(df, name)
-    return c.cast("long") if isinstance(dt, (T.IntegralType, T.BooleanType)) else c.cast("double")
-
-
 def quantile_ranks(prob: float, rows: int) -> tuple[int, int, float]:
     """Ranks on both sides of a quantile, and how far it lies from the lower to the upper one."""
     at = prob * (rows - 1)
@@ -100,7 +94,7 @@ def exact_quantiles(
     probs = [float(p) for p in probs]
     if any(not 0 <= p <= 1 for p in probs):
         raise ValueError("quantile probabilities must lie between 0 and 1")
-    values = drop_missing(df, column).select(sortable_number(df, column).alias("v"))
+    values = drop_missing(df, column).select(number_key(df, column).alias("v"))
     rows = values.count()
     if rows == 0:
         return [None] * len(probs)

@@ -16,11 +16,8 @@ _GROWTH = 8
 
 def position_of(df: DataFrame) -> list[Column] | None:
     """Columns that order the rows of a file-backed table as its files do; None for other tables."""
-    if not df.inputFiles():
-        return None
-    try:
-        metadata = df.select("_metadata").schema[0].dataType.names
-    except AnalysisException:  # a join of tables, or an aggregate
+    metadata = _metadata_fields(df)
+    if not metadata:
         return None
     path = F.col("_metadata.file_path")
     if "row_index" in metadata:
@@ -28,6 +25,20 @@ def position_of(df: DataFrame) -> list[Column] | None:
     return [path, F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
 
 
+def has_row_index(df: DataFrame) -> bool:
+    """Whether rows are numbered within their file (Parquet), not just within a task."""
+    return "row_index" in _metadata_fields(df)
+
+
+def _metadata_fields(df: DataFrame) -> list[str]:
+    if not df.inputFiles():
+        return []
+    try:
+        return df.select("_metadata").schema[0].dataType.names
+    except AnalysisException:  # a join of tables, or an aggregate
+        return []
+
+
 def with_position(df: DataFrame) -> DataFrame:
     """Add the POSITION_COLUMNS; sorting by them restores file order."""
     position = position_of(df)

@@ -132,9 +132,9 @@ def test_identical_rows_are_split_by_number(spark, sortable):
 
 
 def test_copies_come_back_in_batches(spark, monkeypatch):
-    from tallywise.operators import bins
+    from tallywise.operators import parts
 
-    monkeypatch.setattr(bins, "_COPY_BATCH", 7)
+    monkeypatch.setattr(parts, "_COPY_BATCH", 7)
     df = spark.range(1_000).selectExpr("double(least(id, 20)) x")
     counts = tw.equal_count_bins(df, "x").groupBy("bin").count().toPandas().sort_values("bin")["count"]
     assert counts.tolist() == np.bincount(expected_bins(1_000))[1:].tolist()

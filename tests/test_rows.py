@@ -50,6 +50,38 @@ def test_limit_keeps_file_order(spark, tmp_path):
     assert ids(tw.show(table, ["id"], where=tw.eq("odd", 1), limit=2)) == [1, 3]
 
 
+@pytest.mark.parametrize("n", [60, 500, 999, 1_000, 1_800])
+def test_large_limits_are_filters(spark, tmp_path, monkeypatch, n):
+    from tallywise.operators import rows
+
+    monkeypatch.setattr(rows, "GATHERED_ROWS", 50)
+    path = str(tmp_path / "t")
+    spark.range(0, 2_000, 1, 7).write.parquet(path)
+    even = spark.read.parquet(path).filter("id % 2 = 0")
+    first = tw.limit(even, n)
+    assert ids(first) == list(range(0, 2_000, 2))[:n]
+    assert "Limit" not in first._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("direction", ["ASC", "DESC"])
+@pytest.mark.parametrize("column", ["x", "n", "day", "b"])
+@pytest.mark.parametrize("n", [60, 700, 1_100, 5_000])
+def test_large_top_k_equals_the_sorted_head(spark, monkeypatch, direction, column, n):
+    from tallywise.operators import rows
+
+    df = spark.range(1_200).selectExpr(
+        "id",
+        "CASE WHEN id % 13 = 0 THEN NULL WHEN id % 11 = 0 THEN double('nan') WHEN id % 3 = 0 THEN 2.5D ELSE id % 89 - 40D END x",
+        "IF(id % 5 = 0, NULL, id * 7919 % 101 - 50) n",
+        "date_add(date '1970-01-01', int(id % 40) - 20) day",
+        "id % 2 = 0 b",
+    )
+    want = ids(tw.top_k(df, column, direction, n, ["id"]))
+    monkeypatch.setattr(rows, "GATHERED_ROWS", 50)
+    assert ids(tw.top_k(df, column, direction, n, ["id"])) == want
+    assert len(ids(tw.top_k(df, column, direction, n))) == min(n, 1_200)
+
+
 def test_small_limit_reads_few_files(spark, tmp_path):
     from tallywise.sources.position import leading_files
 
