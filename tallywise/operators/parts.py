@@ -149,7 +149,7 @@ def hashable(df: DataFrame) -> list[str]:
 
 
 def has_number_key(dt: T.DataType) -> bool:
-    return isinstance(dt, (T.NumericType, T.BooleanType, T.TimestampType, T.DateType))
+    return isinstance(dt, (T.NumericType, T.BooleanType, T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
 def number_key(df: DataFrame, name: str) -> Column:
@@ -159,6 +159,10 @@ def number_key(df: DataFrame, name: str) -> Column:
         return F.unix_micros(col(name))
     if isinstance(dt, T.DateType):
         return F.unix_date(col(name)).cast("long")
+    if isinstance(dt, T.TimestampNTZType):
+        c = col(name)
+        minutes = (F.unix_date(c.cast("date")).cast("long") * 24 + F.hour(c)) * 60 + F.minute(c)
+        return minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
     whole = isinstance(dt, (T.IntegralType, T.BooleanType))
     return number(df, name).cast("long" if whole else "double")
 

@@ -97,9 +97,9 @@ def test_nothing_left(df):
 
 
 def test_odd_column_names(spark):
-    df = spark.createDataFrame([(1, "x", 2.0)], ["a.b", "category/Third`Party", "v 1"])
-    got = tw.pivot(df, "category/Third`Party", "v 1", "SUM", "a.b")
-    assert got.columns == ["category/Third`Party", "1"]
+    df = spark.createDataFrame([(1, "x", 2.0)], ["a.b", "kind/Other`Name", "v 1"])
+    got = tw.pivot(df, "kind/Other`Name", "v 1", "SUM", "a.b")
+    assert got.columns == ["kind/Other`Name", "1"]
     assert got.collect() == [("x", 2.0)]
 
 

@@ -64,7 +64,7 @@ def test_large_limits_are_filters(spark, tmp_path, monkeypatch, n):
 
 
 @pytest.mark.parametrize("direction", ["ASC", "DESC"])
-@pytest.mark.parametrize("column", ["x", "n", "day", "b"])
+@pytest.mark.parametrize("column", ["x", "n", "day", "b", "at"])
 @pytest.mark.parametrize("n", [60, 700, 1_100, 5_000])
 def test_large_top_k_equals_the_sorted_head(spark, monkeypatch, direction, column, n):
     from tallywise.operators import rows
@@ -75,6 +75,7 @@ def test_large_top_k_equals_the_sorted_head(spark, monkeypatch, direction, colum
         "IF(id % 5 = 0, NULL, id * 7919 % 101 - 50) n",
         "date_add(date '1970-01-01', int(id % 40) - 20) day",
         "id % 2 = 0 b",
+        "timestamp_ntz '1969-12-31 23:59:59.5' + make_dt_interval(0, 0, 0, id * 97 % 500 * 0.25) at",
     )
     want = ids(tw.top_k(df, column, direction, n, ["id"]))
     monkeypatch.setattr(rows, "GATHERED_ROWS", 50)
