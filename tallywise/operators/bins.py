@@ -22,10 +22,10 @@ from ..functions.missing import col, is_present, present
 from ..functions.predicates import Predicate
 from .crosstab import CELL, LABEL, VALUE, spread, value_column
 from .grouping import aggregate
-from .parts import REST, TIE, Parts, divide, hashable, sql_number, tie_keys
+from .parts import REST, TIE, Parts, divide, hashable, tie_keys
 from .rows import sort_key
 from .rows import where as keep
-from .selection import SORTABLE_ROWS
+from .selection import SORTABLE_ROWS, sql_number
 from .statistics import Fence, interpolate, quantile_ranks, quantiles_of, summarise
 
 BINS = 10

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.checks import data_type, require_columns
 from ..functions.missing import col, number
-from .selection import SORTABLE_ROWS, Position, positions
+from .selection import SORTABLE_ROWS, Position, positions, sql_number
 
 TIE, REST, PART = "__tie", "__rest", "__part"
 # Copies of one row are handed out again in batches of this many.
@@ -46,9 +44,12 @@ class Parts:
         ]
         if not torn:
             return df.withColumn(out, self._number())
-        at_cut = [self._equals(cut) for cut in torn]
-        apart = df.filter(~reduce(lambda a, b: a | b, at_cut)).withColumn(out, self._number())
-        return apart.unionByName(self._hand_out(df, torn, at_cut, out))
+        at_cut = {cut.first: self._equals(cut) for cut in torn}
+        straddling = " OR ".join(f"({test})" for test in at_cut.values())
+        apart = df.filter(f"NOT ({straddling})").withColumn(out, self._number())
+        first = " ".join(f"WHEN {test} THEN {rank}L" for rank, test in at_cut.items())
+        copies = df.filter(straddling).withColumn("__first", F.expr(f"CASE {first} END"))
+        return apart.unionByName(self._hand_out(copies, df.columns, out))
 
     def _number(self) -> Column:
         passed = " + ".join(f"int({self._after(cut)})" for cut in self.cuts)
@@ -62,47 +63,36 @@ class Parts:
             test = f"({name} > {v} OR ({name} = {v} AND {test}))" if test else f"{name} > {v}"
         return test
 
-    def _equals(self, cut: Position) -> Column:
-        return reduce(lambda a, b: a & b, [F.col(n) == F.lit(v) for n, v in zip(self.keys, cut.keys)])
+    def _equals(self, cut: Position) -> str:
+        return " AND ".join(f"{name} = {sql_number(value)}" for name, value in zip(self.keys, cut.keys))
 
-    def _hand_out(self, df: DataFrame, torn: list[Position], at_cut: list[Column], out: str) -> DataFrame:
+    def _hand_out(self, copies: DataFrame, names: list[str], out: str) -> DataFrame:
         """Split identical rows that straddle a cut by their number, whichever copy goes where.
 
-        Copies are counted (combining on the map side), the count is divided among the parts,
-        and the rows are repeated in batches that spread over all tasks.
+        ``__first`` is the rank of the first of them. Copies are counted (combining on the map
+        side), the count is divided among the parts, and the rows are repeated in batches that
+        spread over all tasks.
         """
-        names = df.columns
-        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        first = F.coalesce(*[F.when(t, F.lit(c.first)) for t, c in zip(at_cut, torn)])
-        counted = (
-            df.filter(reduce(lambda a, b: a | b, at_cut))
-            .withColumn("first", first)
-            .groupBy("first", *[col(n) for n in names])
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
+        tasks = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        counted = copies.groupBy("__first", *[col(n) for n in names]).agg(F.count(F.lit(1)).alias("__n"))
         # More than one distinct row per cut only if their hashes collide.
-        running = Window.partitionBy("first").orderBy(*[col(n) for n in hashable(df)])
-        upto = F.sum("n").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        placed = counted.withColumn("end", F.col("first") + upto).withColumn("start", F.col("end") - F.col("n"))
+        running = Window.partitionBy("__first").orderBy(*[col(n) for n in hashable(copies)])
+        upto = F.sum("__n").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        placed = counted.withColumn("__end", F.col("__first") + upto)
         bounds = [0, *[r + 1 for r in self.last_ranks], self.rows]
-        shares = F.array(
-            *[
-                F.struct(
-                    F.lit(i + 1).alias("number"),
-                    (F.least(F.col("end"), F.lit(high)) - F.greatest(F.col("start"), F.lit(low))).alias("size"),
-                )
-                for i, (low, high) in enumerate(zip(bounds, bounds[1:]))
-            ]
+        shares = ", ".join(
+            f"struct({i + 1} AS number, least(__end, {high}L) - greatest(__end - __n, {low}L) AS size)"
+            for i, (low, high) in enumerate(zip(bounds, bounds[1:]))
         )
-        share = F.col("share")
+        share = F.col("__share")
         batches = F.sequence(F.lit(0).cast("long"), F.floor((share["size"] - 1) / _COPY_BATCH))
-        repeat = F.least(F.lit(_COPY_BATCH), share["size"] - F.col("batch") * _COPY_BATCH)
+        repeat = F.least(F.lit(_COPY_BATCH), share["size"] - F.col("__batch") * _COPY_BATCH)
         return (
-            placed.withColumn("share", F.explode(shares))
+            placed.withColumn("__share", F.explode(F.expr(f"array({shares})")))
             .filter(share["size"] > 0)
-            .withColumn("batch", F.explode(batches))
-            .repartition(tasks, "batch", share["number"])
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), repeat.cast("int"))))
+            .withColumn("__batch", F.explode(batches))
+            .repartition(tasks, "__batch", share["number"])
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1), repeat.cast("int"))))
             .select(*[col(n) for n in names], share["number"].alias(out))
         )
 
@@ -136,13 +126,6 @@ def first_part(df: DataFrame, keys: Sequence[str], n: int, sortable: int = SORTA
     return parts.assign(df).filter(F.col(PART) == 1).drop(PART)
 
 
-def sql_number(value: float | int) -> str:
-    """A literal that Spark reads back as exactly this number."""
-    if isinstance(value, int):
-        return f"{value}L"
-    return f"{value!r}D" if np.isfinite(value) else f"double('{value}')"
-
-
 def hashable(df: DataFrame) -> list[str]:
     """Columns that can be hashed and ordered: all but maps."""
     return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.checks import data_type, require_columns, require_direction, require_limit
 from ..functions.missing import col, present
 from ..functions.predicates import Predicate
-from ..sources.position import POSITION_COLUMNS, has_row_index, leading_files, position_of, with_position
+from ..sources.position import has_row_index, leading_files, position_of
 from .parts import first_part, has_number_key, hashable, number_key, tie_keys
 from .selection import positions
 
@@ -76,14 +76,13 @@ def limit(df: DataFrame, n: int | str) -> DataFrame:
     hold n matching rows. A table without files of its own keeps the order of its partitions.
     """
     n = require_limit(n)
-    if position_of(df) is None:
+    position = position_of(df)
+    if position is None:
         return df.limit(n)
     head = leading_files(df, n)
     if n > GATHERED_ROWS and has_row_index(df):
-        first = with_position(_before_cut(head, n)).orderBy(*POSITION_COLUMNS)
-    else:
-        first = with_position(head).orderBy(*POSITION_COLUMNS).limit(n)
-    return first.select(*[col(c) for c in df.columns])
+        return _before_cut(head, n).orderBy(*position)
+    return head.orderBy(*position).limit(n)
 
 
 def _before_cut(head: DataFrame, n: int) -> DataFrame:

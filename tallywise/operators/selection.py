@@ -12,10 +12,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import EXACT_INTEGER
@@ -79,11 +78,19 @@ class _Region:
             and math.nextafter(float(self.low), math.inf) >= float(self.high)
         )
 
-    def contains(self, keys: list[str]) -> Column:
-        tests = [F.col(k) == F.lit(v) for k, v in zip(keys, self.prefix)]
+    def contains(self, keys: list[str]) -> str:
+        """SQL test: the row belongs to the region."""
+        tests = [f"{k} = {sql_number(v)}" for k, v in zip(keys, self.prefix)]
         if self.bounded:
-            tests.append(F.col(keys[self.level]).between(F.lit(self.low), F.lit(self.high)))
-        return reduce(lambda a, b: a & b, tests, F.lit(True))
+            tests.append(f"{keys[self.level]} BETWEEN {sql_number(self.low)} AND {sql_number(self.high)}")
+        return " AND ".join(tests) or "true"
+
+
+def sql_number(value: float | int) -> str:
+    """A literal that Spark reads back as exactly this number."""
+    if isinstance(value, int):
+        return f"{value}L"
+    return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
 
 
 def positions(
@@ -147,12 +154,9 @@ def _settle(region: _Region, keys: list[str], deep: set[int], found: dict[int, P
 
 def _tagged(df: DataFrame, keys: list[str], regions: list[_Region]) -> DataFrame:
     """The rows of the given regions, with the index of their region."""
-    if len(regions) == 1:
-        only = regions[0].contains(keys)
-        return df.filter(only).withColumn("region", F.lit(0))
     tests = [r.contains(keys) for r in regions]
-    tag = F.coalesce(*[F.when(test, F.lit(i)) for i, test in enumerate(tests)])
-    return df.filter(reduce(lambda a, b: a | b, tests)).withColumn("region", tag)
+    tag = " ".join(f"WHEN {test} THEN {i}" for i, test in enumerate(tests))
+    return df.filter(" OR ".join(f"({test})" for test in tests)).withColumn("region", F.expr(f"CASE {tag} END"))
 
 
 def _running_counts(df: DataFrame, keys: list[str], regions: list[_Region], order: list[str]) -> list:

@@ -21,7 +21,7 @@ def position_of(df: DataFrame) -> list[Column] | None:
         return None
     path = F.col("_metadata.file_path")
     if "row_index" in metadata:
-        return [path, F.col("_metadata.row_index"), F.lit(0)]
+        return [path, F.col("_metadata.row_index"), F.lit(0).cast("long")]
     return [path, F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
 
 

@@ -131,6 +131,13 @@ def test_identical_rows_are_split_by_number(spark, sortable):
     assert total["p"].sum() == 500 and total["q"].sum() == sum(range(20)) + 260
 
 
+def test_copies_with_any_column_names_and_maps(spark):
+    df = spark.range(300).selectExpr("double(least(id % 30, 20)) first", "1 n", "map('a', id % 2) batch", "array(1) share")
+    binned = tw.equal_count_bins(df, "first", out="part")
+    sizes = binned.groupBy("part").count().toPandas().sort_values("part")["count"]
+    assert sizes.tolist() == [30] * 10 and binned.columns == ["first", "n", "batch", "share", "part"]
+
+
 def test_copies_come_back_in_batches(spark, monkeypatch):
     from tallywise.operators import parts
 

@@ -93,6 +93,13 @@ def test_small_limit_reads_few_files(spark, tmp_path):
     assert leading_files(table, 1_000).select("_metadata.file_path").distinct().count() == 8
 
 
+def test_limit_of_a_table_with_a_path_column(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0, 100, 1, 3).selectExpr("id", "'x' file_path", "-id file_block").write.parquet(path)
+    first = tw.limit(spark.read.parquet(path), 40)
+    assert first.columns == ["id", "file_path", "file_block"] and ids(first) == list(range(40))
+
+
 def test_limit_of_a_table_without_files(spark):
     assert ids(tw.limit(spark.range(10), 3)) == [0, 1, 2]
 
