@@ -12,11 +12,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.aggregates import check_aggregate
+from ..functions.aggregates import UNDEFINED_WHEN_EMPTY, check_aggregate
 from ..functions.checks import data_type, require_columns, require_direction, require_limit, require_numeric
 from ..functions.missing import col, is_present, present
 from ..functions.predicates import Predicate
@@ -193,10 +193,11 @@ def deciles(
     filtered rows, and on those left after outlier removal. Every bin is listed, except in a
     cross-tab of COUNT_UNIQUE, MEAN or MEDIAN, which lists bins with such a result.
     """
-    slim, agg = _slim(df, column, value, agg, pivot_column, where, order_by, direction, limit, [])
-    rows = _survivors(slim, ignore_outliers, sortable)
+    request = _Request("decile", column, value, str(agg).upper(), pivot_column, order_by, direction, limit)
+    request.check(df)
+    rows = _survivors(request.slim(keep(df, where), []), ignore_outliers, sortable)
     bins, count = _equal_width(rows.select(KEY))
-    return _analysis(bins, rows, "decile", agg, pivot_column, count, order_by, direction, limit)
+    return request.result(bins, rows, count)
 
 
 def percentiles(
@@ -219,67 +220,85 @@ def percentiles(
     The label column is ``percentile``, with P0, P10, ..., P90. Rows of equal value are ordered
     by ``tiebreak``, then by a hash of the columns in use, so results are repeatable.
     """
-    rest = [value] + ([pivot_column] if pivot_column is not None else [])
-    _check_bin_column(df, column)
-    require_columns(df, rest)
-    ties = tie_keys(df, tiebreak, rest)
-    slim, agg = _slim(df, column, value, agg, pivot_column, where, order_by, direction, limit, ties)
-    rows = _survivors(slim, ignore_outliers, sortable)
+    request = _Request("percentile", column, value, str(agg).upper(), pivot_column, order_by, direction, limit)
+    request.check(df)
+    ties = tie_keys(df, tiebreak, request.aggregated())
+    rows = _survivors(request.slim(keep(df, where), ties), ignore_outliers, sortable)
     bins, count = _equal_count(rows, sortable)
-    return _analysis(bins, rows, "percentile", agg, pivot_column, count, order_by, direction, limit)
-
-
-def _slim(df, column, value, agg, pivot_column, where, order_by, direction, limit, ties) -> tuple[DataFrame, str]:
-    """Check the arguments; reduce the table to the columns in use, under internal names."""
-    _check_bin_column(df, column)
-    require_columns(df, [value] + ([pivot_column] if pivot_column is not None else []))
-    agg = check_aggregate(df, value, agg)
-    require_direction(direction)
-    if limit is not None:
-        require_limit(limit)
-    if order_by is not None and pivot_column is None and order_by not in ("decile", "percentile", agg.lower()):
-        raise ValueError(f"sort column {order_by!r} is not in the result")
-    kept = keep(df, where).filter(is_present(df, column))
-    label = [] if pivot_column is None else [present(df, pivot_column).alias(LABEL)]
-    return (
-        kept.select(
-            _bin_key(df, column), *label, value_column(df, value).alias(VALUE), *ties
-        ),
-        agg,
-    )
+    return request.result(bins, rows, count)
 
 
-def _analysis(bins, rows, name, agg, pivot_column, count, order_by, direction, limit) -> DataFrame:
-    """Aggregate per bin and join the result to the bin labels (at most ten rows)."""
-    binned = bins.assign(rows)
-    every_bin = pivot_column is None or agg in ("SUM", "COUNT")
-    if pivot_column is None:
-        result, names = aggregate(binned.select(BIN, VALUE), [BIN], VALUE, agg, CELL, count), [agg.lower()]
-        empty_is_zero = agg in ("SUM", "COUNT", "COUNT_UNIQUE")
-    else:
-        labelled = binned.filter(F.col(LABEL).isNotNull()).select(BIN, LABEL, VALUE)
-        result, names = spread(labelled, BIN, agg, count)
-        empty_is_zero = True
-    if order_by is not None and order_by not in (name, *names):
-        raise ValueError(f"sort column {order_by!r} is not among {[name, *names]}")
-    if name in names:
-        raise ValueError(f"the label {name!r} is also the name of the bin column")
-    cells = result.columns[1:]
+@dataclass(frozen=True)
+class _Request:
+    """What ``deciles`` and ``percentiles`` share: their arguments, and how a result is shaped."""
+
+    name: str  # of the label column
+    column: str
+    value: str
+    agg: str
+    pivot_column: str | None
+    order_by: str | None
+    direction: str
+    limit: int | str | None
+
+    def aggregated(self) -> list[str]:
+        return [self.value] if self.pivot_column is None else [self.value, self.pivot_column]
+
+    def check(self, df: DataFrame) -> None:
+        _check_bin_column(df, self.column)
+        require_columns(df, self.aggregated())
+        check_aggregate(df, self.value, self.agg)
+        require_direction(self.direction)
+        if self.limit is not None:
+            require_limit(self.limit)
+        if self.pivot_column is None:
+            self._check_sort_column([self.agg.lower()])
+
+    def _check_sort_column(self, names: list[str]) -> None:
+        if self.order_by is not None and self.order_by not in (self.name, *names):
+            raise ValueError(f"sort column {self.order_by!r} is not among {[self.name, *names]}")
+
+    def slim(self, df: DataFrame, ties: list[Column]) -> DataFrame:
+        """The rows with a value to bin, reduced to the columns in use, under internal names."""
+        label = [] if self.pivot_column is None else [present(df, self.pivot_column).alias(LABEL)]
+        value = value_column(df, self.value).alias(VALUE)
+        return df.filter(is_present(df, self.column)).select(_bin_key(df, self.column), *label, value, *ties)
+
+    def result(self, bins: EqualWidth | EqualCount, rows: DataFrame, count: int) -> DataFrame:
+        """Aggregate per bin and join the result to the bin labels (at most ten rows)."""
+        binned = bins.assign(rows)
+        if self.pivot_column is None:
+            table = aggregate(binned.select(BIN, VALUE), [BIN], VALUE, self.agg, CELL, count)
+            names = [self.agg.lower()]
+        else:
+            labelled = binned.filter(F.col(LABEL).isNotNull()).select(BIN, LABEL, VALUE)
+            table, names = spread(labelled, BIN, self.agg, count)
+        self._check_sort_column(names)
+        if self.name in names:
+            raise ValueError(f"the label {self.name!r} is also the name of the bin column")
+        cells = table.columns[1:]
+        every_bin = self.pivot_column is None or self.agg in ("SUM", "COUNT")
+        # One aggregated row per bin, so both sides have at most ten rows.
+        joined = _dimension(rows.sparkSession, bins).join(
+            F.broadcast(table), BIN, "left" if every_bin else "inner"
+        )
+        if self.pivot_column is not None or self.agg not in UNDEFINED_WHEN_EMPTY:
+            joined = joined.select(BIN, "text", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in cells])
+        order = [F.col(BIN)]
+        if self.order_by is not None:
+            key = "text" if self.order_by == self.name else cells[names.index(self.order_by)]
+            order.insert(0, sort_key(F.col(key), require_direction(self.direction)))
+        # The label side is a single partition, and the join keeps it so: a local sort is total.
+        shaped = joined.sortWithinPartitions(*order)
+        if self.limit is not None:
+            shaped = shaped.limit(require_limit(self.limit))
+        return shaped.select(F.col("text").alias(self.name), *[F.col(c).alias(n) for c, n in zip(cells, names)])
+
+
+def _dimension(spark: SparkSession, bins: EqualWidth | EqualCount) -> DataFrame:
+    """Bin numbers with their label texts, in one partition."""
     texts = F.array(*[F.lit(text) for text in bins.labels()])
     number = F.col("id").cast("int")
-    dimension = rows.sparkSession.range(1, bins.count + 1, numPartitions=1).select(
+    return spark.range(1, bins.count + 1, numPartitions=1).select(
         number.alias(BIN), F.element_at(texts, number).alias("text")
     )
-    # One aggregated row per bin, so both sides have at most ten rows.
-    joined = dimension.join(F.broadcast(result), BIN, "left" if every_bin else "inner")
-    if empty_is_zero:
-        joined = joined.select(BIN, "text", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in cells])
-    order = [F.col(BIN)]
-    if order_by is not None:
-        key = "text" if order_by == name else cells[names.index(order_by)]
-        order = [sort_key(F.col(key), require_direction(direction)), F.col(BIN)]
-    # The label side is a single partition, and the join keeps it so: a local sort is total.
-    result = joined.sortWithinPartitions(*order)
-    if limit is not None:
-        result = result.limit(require_limit(limit))
-    return result.select(F.col("text").alias(name), *[F.col(c).alias(n) for c, n in zip(cells, names)])
