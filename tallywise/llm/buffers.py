@@ -20,6 +20,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _IS_WORD = np.ones(256, np.bool_)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
+# Letters, roughly: A-Z, a-z and every byte beyond ASCII.
+IS_LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers = {"base": np.ones(1, np.uint64), "inverse": np.ones(1, np.uint64)}
@@ -61,9 +63,9 @@ class Texts:
         raw = (self._prefix[ends] - self._prefix[starts]) * _power("inverse", len(self.data) + 1)[starts]
         return mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and text number of each run of bytes other than space and tab to return."""
-        inside = _IS_WORD[self.data]
+    def words(self, letters: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and text number of each run of bytes of ``letters``: all but space and tab to return."""
+        inside = letters[self.data]
         edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
         starts, ends = edges[::2], edges[1::2]
         return starts, ends, np.searchsorted(self.offsets, starts, "right") - 1

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.query import Query, read_table
-from . import bpe_coding, exact_dedup, mixing, secret_scan
+from ..sources.workspace import fresh_path
+from . import bpe_coding, exact_dedup, mixing, secret_scan, token_output, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -26,11 +27,24 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(read_table(spark, sf_dir, "documents"), digest=True)
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    token_output.write_ids(read_table(spark, sf_dir, "documents"), path, vocabulary())
+    return token_output.read_ids(spark, path, digest=True)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.in_order(mixing.mix(read_table(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.train(docs, labels), kept=("doc_id",))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted)
+
+
 def op8_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_coding.encode_digests(read_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -86,6 +100,8 @@ FROM placed
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": Query(op1_secret_scan, None),
     "op2_exact_dedup": Query(op2_exact_dedup, OP2_SQL),
+    "op3_token_output": Query(op3_token_output, None),
     "op4_source_mixing": Query(op4_source_mixing, OP4_SQL),
+    "op5_toxicity": Query(op5_toxicity, None),
     "op8_bpe_coding": Query(op8_bpe_coding, None),
 }
