@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.query import Query, read_table
 from ..sources.workspace import fresh_path
-from . import bpe_coding, exact_dedup, mixing, secret_scan, token_output, toxicity
+from . import bpe_coding, exact_dedup, fingerprints, html_extraction, mixing, secret_scan, token_output, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -49,6 +49,14 @@ def op8_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_coding.encode_digests(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(read_table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = f"""
@@ -104,4 +112,6 @@ QUERIES: dict[str, Query] = {
     "op4_source_mixing": Query(op4_source_mixing, OP4_SQL),
     "op5_toxicity": Query(op5_toxicity, None),
     "op8_bpe_coding": Query(op8_bpe_coding, None),
+    "op9_fingerprints": Query(op9_fingerprints, None),
+    "op10_html_extraction": Query(op10_html_extraction, None),
 }
