@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.query import Query, read_table
 from ..sources.workspace import fresh_path
-from . import bpe_coding, exact_dedup, fingerprints, html_extraction, mixing, ngram_join, secret_scan, token_output, toxicity
+from . import bpe_coding, exact_dedup, fingerprints, html_extraction, mixing, ngram_join, secret_scan, substring_dedup, token_output, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -49,6 +49,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op8_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_coding.encode_digests(read_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -116,6 +120,7 @@ QUERIES: dict[str, Query] = {
     "op4_source_mixing": Query(op4_source_mixing, OP4_SQL),
     "op5_toxicity": Query(op5_toxicity, None),
     "op6_ngram_join": Query(op6_ngram_join, None),
+    "op7_substring_dedup": Query(op7_substring_dedup, None),
     "op8_bpe_coding": Query(op8_bpe_coding, None),
     "op9_fingerprints": Query(op9_fingerprints, None),
     "op10_html_extraction": Query(op10_html_extraction, None),

@@ -10,8 +10,8 @@ import numpy as np
 
 from .buffers import Texts
 
-# Entries and ids of a pool before it is emptied; bounds a worker's memory to some 200 MB.
-POOL_ENTRIES, POOL_IDS = 1_000_000, 16_000_000
+# Entries and ids of a pool, and pieces of words, before they are emptied; bounds a worker's memory to some 150 MB.
+POOL_ENTRIES, POOL_IDS, POOL_PIECES = 500_000, 8_000_000, 300_000
 # Words of these characters need no Unicode normalisation, and lower-casing them has no context.
 _PLAIN_LINES = re.compile(r"[\n!-~À-ÖØ-öø-ÿ]*")
 # Fixed value: the vocabulary's rule for cutting lower-case text, for plain words; a line holds a word.
@@ -116,7 +116,7 @@ class WordEncoder:
     def _piece(self, piece: str) -> list[int]:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) >= POOL_ENTRIES:
+            if len(self.pieces) >= POOL_PIECES:
                 self.pieces.clear()
             spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.characters)
             found = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
