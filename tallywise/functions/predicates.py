@@ -1,14 +1,17 @@
 """Row predicates as small immutable trees that compile to one Spark ``Column``.
 
 Comparisons follow two-valued logic: a missing value never matches, except for ``ne``,
-which it always matches. A comparison between an integer column and a literal is rewritten
-onto an integer literal, so that it stays free of casts and is pushed to the Parquet scan.
+which it always matches. A literal takes the column's own type, exactly: an integer or decimal
+column is compared with an integer or decimal, so the comparison is free of casts and is pushed
+to the Parquet scan. Numbers for a text column are compared as text.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from datetime import date, datetime
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, InvalidOperation, localcontext
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +47,10 @@ class Compare(Predicate):
         require_columns(df, [self.column])
         dt = data_type(df, self.column)
         if is_numeric(dt):
-            return _compare_number(col(self.column), dt, self.op, _as_float(self.column, self.value))
+            return _compare_number(col(self.column), dt, self.op, _as_number(self.column, self.value))
         if self.op not in ("eq", "ne"):
             raise TypeError(f"{self.op} needs a numeric column, {self.column!r} is {dt.simpleString()}")
-        return _equality(col(self.column), self.op, F.lit(self.value))
+        return _equality(col(self.column), self.op, _literal(self.column, dt, self.value))
 
 
 @dataclass(frozen=True)
@@ -80,25 +83,49 @@ class Group(Predicate):
         return combined
 
 
-def _as_float(column: str, value: object) -> float:
+def _as_number(column: str, value: object) -> Decimal | float:
+    """Finite numbers as exact decimals, whatever type or text they come in; else inf or nan."""
+    try:
+        exact = Decimal(str(value).strip()) if not isinstance(value, bool) else Decimal(int(value))
+        return exact if exact.is_finite() else float(value)  # type: ignore[arg-type]
+    except (InvalidOperation, TypeError, ValueError):
+        pass
     try:
         return float(value)  # type: ignore[arg-type]
     except (TypeError, ValueError):
         raise TypeError(f"column {column!r} is numeric, {value!r} is not a number") from None
 
 
+def _literal(column: str, dt: T.DataType, value: object) -> Column:
+    """A literal of the column's own kind, so that no row can fail to convert."""
+    if isinstance(dt, T.StringType):
+        return F.lit(str(value))
+    parse = {T.DateType: date.fromisoformat, T.TimestampType: datetime.fromisoformat}.get(type(dt))
+    if parse is not None and isinstance(value, str):
+        try:
+            value = parse(value.strip())
+        except ValueError:
+            raise TypeError(f"column {column!r} is a {dt.simpleString()}, {value!r} is not") from None
+    if parse is not None and not isinstance(value, date):
+        raise TypeError(f"column {column!r} is a {dt.simpleString()}, {value!r} is not")
+    return F.lit(value)
+
+
 def _equality(c: Column, op: str, literal: Column) -> Column:
     return c == literal if op == "eq" else ~c.eqNullSafe(literal)
 
 
-def _compare_number(c: Column, dt: T.DataType, op: str, value: float) -> Column:
-    if math.isnan(value):
+def _compare_number(c: Column, dt: T.DataType, op: str, value: Decimal | float) -> Column:
+    """Compare on the column's own type: exact for whole numbers and decimals, and free of casts."""
+    if isinstance(value, float) and math.isnan(value):
         return F.lit(op == "ne")
     if isinstance(dt, T.BooleanType):
         c, dt = c.cast("int"), T.IntegerType()
-    if isinstance(dt, T.IntegralType) and abs(value) < EXACT_INTEGER:
-        return _compare_integer(c, op, value)
-    literal = F.lit(value)
+    if isinstance(dt, (T.IntegralType, T.DecimalType)):
+        if isinstance(value, float):  # infinite
+            return _beyond(c, op, above=value > 0)
+        return _compare_exact(c, dt, op, value)
+    literal = F.lit(float(value)).cast(dt)
     if op in ("eq", "ne"):
         return _equality(c, op, literal)
     test = {"gt": c > literal, "lt": c < literal, "ge": c >= literal, "le": c <= literal}[op]
@@ -106,18 +133,39 @@ def _compare_number(c: Column, dt: T.DataType, op: str, value: float) -> Column:
     return test & ~F.isnan(c) if op in ("gt", "ge") and is_floating(dt) else test
 
 
-def _compare_integer(c: Column, op: str, value: float) -> Column:
+def _beyond(c: Column, op: str, above: bool) -> Column:
+    """A literal above or below everything that the column can hold."""
+    holds = op == "ne" or (op in ("lt", "le")) == above and op != "eq"
+    if op == "ne":
+        return F.lit(True)
+    return c.isNotNull() if holds else F.lit(False)
+
+
+_DIGITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+
+
+def _compare_exact(c: Column, dt: T.DataType, op: str, value: Decimal) -> Column:
+    """Round the literal to the column's scale in the direction that keeps the comparison true."""
+    if isinstance(dt, T.DecimalType):
+        step, low, high = Decimal(1).scaleb(-dt.scale), None, Decimal(10) ** (dt.precision - dt.scale)
+        low = -high
+    else:
+        step, high = Decimal(1), Decimal(2 ** (_DIGITS[type(dt)] - 1))
+        low = -high - 1
+    if not low < value < high:
+        return _beyond(c, op, above=value > 0)
+    with localcontext() as wide:
+        wide.prec = 400
+        down, up = (value.quantize(step, rounding=r) for r in (ROUND_FLOOR, ROUND_CEILING))
+        if op in ("eq", "ne") and down != up:
+            return F.lit(op == "ne")
+    bound = {"gt": down, "le": down}.get(op, up)
+    if not low < bound < high:
+        return _beyond(c, op, above=bound > 0)
+    literal = F.lit(bound).cast(dt) if isinstance(dt, T.DecimalType) else F.lit(int(bound)).cast(dt)
     if op in ("eq", "ne"):
-        if value.is_integer():
-            return _equality(c, op, F.lit(int(value)))
-        return F.lit(op == "ne")
-    if op == "gt":
-        return c > F.lit(math.floor(value))
-    if op == "ge":
-        return c >= F.lit(math.ceil(value))
-    if op == "lt":
-        return c < F.lit(math.ceil(value))
-    return c <= F.lit(math.floor(value))
+        return _equality(c, op, literal)
+    return {"gt": c > literal, "lt": c < literal, "ge": c >= literal, "le": c <= literal}[op]
 
 
 def eq(column: str, value: object) -> Predicate:

@@ -20,7 +20,7 @@ from ..functions.aggregates import UNDEFINED_WHEN_EMPTY, check_aggregate
 from ..functions.checks import data_type, require_columns, require_direction, require_limit, require_numeric
 from ..functions.missing import col, is_present, present
 from ..functions.predicates import Predicate
-from .crosstab import CELL, LABEL, VALUE, spread, value_column
+from .crosstab import CELL, LABEL, VALUE, apart_from, spread, value_column
 from .grouping import aggregate
 from .parts import REST, TIE, Parts, divide, hashable, tie_keys
 from .rows import sort_key
@@ -274,8 +274,7 @@ class _Request:
             labelled = binned.filter(F.col(LABEL).isNotNull()).select(BIN, LABEL, VALUE)
             table, names = spread(labelled, BIN, self.agg, count)
         self._check_sort_column(names)
-        if self.name in names:
-            raise ValueError(f"the label {self.name!r} is also the name of the bin column")
+        shown = apart_from(self.name, names)
         cells = table.columns[1:]
         every_bin = self.pivot_column is None or self.agg in ("SUM", "COUNT")
         # One aggregated row per bin, so both sides have at most ten rows.
@@ -292,7 +291,7 @@ class _Request:
         shaped = joined.sortWithinPartitions(*order)
         if self.limit is not None:
             shaped = shaped.limit(require_limit(self.limit))
-        return shaped.select(F.col("text").alias(self.name), *[F.col(c).alias(n) for c, n in zip(cells, names)])
+        return shaped.select(F.col("text").alias(self.name), *[F.col(c).alias(n) for c, n in zip(cells, shown)])
 
 
 def _dimension(spark: SparkSession, bins: EqualWidth | EqualCount) -> DataFrame:

@@ -85,8 +85,7 @@ def pivot(
         order_by = None if order_by is None else str(order_by)
         if order_by is not None and order_by not in names:
             raise ValueError(f"sort column {order_by!r} is not among the labels {names}")
-    if row in names:
-        raise ValueError(f"the label {row!r} is also the name of the row column")
+    names = apart_from(row, names)
     cells = result.columns[1:]
     if order_by is not None:
         key = CELL if column is None else cells[names.index(order_by)]
@@ -98,6 +97,17 @@ def pivot(
     return result.select(F.col(ROW).alias(row), *[F.col(c).alias(n) for c, n in zip(cells, names)])
 
 
+def apart_from(key: str, labels: list[str]) -> list[str]:
+    """Column names for labels; one that is the key column's name gets as many ``'`` as it takes."""
+    names = list(labels)
+    if key in labels:
+        name = key
+        while name in labels:
+            name += "'"
+        names[labels.index(key)] = name
+    return names
+
+
 def spread(
     rows: DataFrame, key: str, agg: str, row_count: int | None = None
 ) -> tuple[DataFrame, list[str]]:

@@ -70,11 +70,12 @@ def spread_median(df: DataFrame, keys: list[str], value: str, out: str, rows: in
         *keys, *[F.when(_holds(r), F.col("low")).alias(r) for r in ("left", "right")]
     )
     open_cells = middle.filter(F.col("low") != F.col("high")).select(*keys, "bucket", "below", "left", "right")
+    # Repeated values are counted before they meet the cells, so a frequent one is a single row.
     counts = (
         ranged.filter(~F.col("bucket").isin(one_value_buckets(splits)))
-        .join(open_cells, [*keys, "bucket"])
-        .groupBy(*keys, "bucket", "below", "left", "right", value)
+        .groupBy(*keys, "bucket", value)
         .agg(F.count(F.lit(1)).alias("n"))
+        .join(open_cells, [*keys, "bucket"])
     )
     in_cell = (
         Window.partitionBy(*keys, "bucket")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.checks import data_type, require_columns
-from ..functions.missing import col, number
+from ..functions.missing import col, number, present
 from .selection import SORTABLE_ROWS, Position, positions, sql_number
 
 TIE, REST, PART = "__tie", "__rest", "__part"
@@ -150,6 +150,52 @@ def number_key(df: DataFrame, name: str) -> Column:
     return number(df, name).cast("long" if whole else "double")
 
 
+# Bytes of a text that one number of its chain holds; digits of a decimal that fit a long.
+_TEXT_BYTES, _DECIMAL_DIGITS = 7, 18
+
+
+def has_order_chain(dt: T.DataType) -> bool:
+    return has_number_key(dt) or isinstance(dt, T.StringType)
+
+
+def order_chain(df: DataFrame, name: str, ascending: bool) -> list[Column]:
+    """Numbers that, compared one after another, order rows as the column does, missing values last.
+
+    The first says whether the value is missing. A decimal beyond 18 digits is three whole
+    numbers, thirteen of its digits each. A text is its bytes, seven at a time, then its length; the
+    longest text decides how many there are.
+    """
+    dt, c = data_type(df, name), col(name)
+    missing = present(df, name).isNull()
+    if isinstance(dt, T.StringType):
+        longest = df.agg(F.max(F.octet_length(c))).first()[0] or 0
+        raw = c.cast("binary")
+        pieces = [F.hex(F.substring(raw, i + 1, _TEXT_BYTES)) for i in range(0, longest, _TEXT_BYTES)]
+        digits = 2 * _TEXT_BYTES
+        keys = [F.conv(F.rpad(F.concat(F.lit("0"), p), digits + 1, "0"), 16, 10).cast("long") for p in pieces]
+        keys.append(F.octet_length(c).cast("long"))
+    elif isinstance(dt, T.DecimalType) and dt.precision > _DECIMAL_DIGITS:
+        keys = _decimal_keys(c, dt)
+    elif isinstance(dt, T.DecimalType):
+        keys = [(c * F.lit(10**dt.scale).cast(T.DecimalType(19, 0))).cast("long")]
+    else:
+        keys = [number_key(df, name)]
+    if not ascending:
+        whole = [isinstance(f.dataType, T.LongType) for f in df.select(*keys).schema.fields]
+        keys = [F.bitwise_not(k) if w else -k for k, w in zip(keys, whole)]
+    filled = [F.when(missing, F.lit(0)).otherwise(k) for k in keys]
+    return [missing.cast("long"), *filled]
+
+
+def _decimal_keys(c: Column, dt: T.DecimalType) -> list[Column]:
+    """The digits of a decimal in three groups, from its plain text; those of a negative value are negated."""
+    # Tiny values are written with an exponent otherwise.
+    plain = F.format_number(F.abs(c), dt.scale)
+    digits = F.lpad(F.regexp_replace(plain, "[,.]", ""), 3 * 13, "0")
+    sign = F.when(c < 0, F.lit(-1)).otherwise(F.lit(1))
+    return [F.substring(digits, 13 * i + 1, 13).cast("long") * sign for i in range(3)]
+
+
 def tie_keys(df: DataFrame, tiebreak: str | Sequence[str] | None, rest: Sequence[str]) -> list[Column]:
     """Numeric keys that order rows of equal value: the tie-break, then a hash of ``rest``.
 

@@ -6,13 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.checks import data_type, require_columns, require_direction, require_limit
 from ..functions.missing import col, present
 from ..functions.predicates import Predicate
 from ..sources.position import has_row_index, leading_files, position_of
-from .parts import first_part, has_number_key, hashable, number_key, tie_keys
+from .parts import first_part, has_order_chain, hashable, order_chain, tie_keys
 from .selection import positions
 
 # Largest limit for which every task may hand that many rows to a single one.
@@ -70,10 +69,10 @@ def _sort_keys(df: DataFrame, column: str, direction: str, tiebreak: Sequence[st
 
 
 def limit(df: DataFrame, n: int | str) -> DataFrame:
-    """The first n rows in file order.
+    """The first n rows in file order, or in the order of a sort that ``df`` ends with.
 
     For a table read from files this looks at the leading files only, as many as it takes to
-    hold n matching rows. A table without files of its own keeps the order of its partitions.
+    hold n matching rows. Any other table (sorted, joined, made in memory) keeps the order it has.
     """
     n = require_limit(n)
     position = position_of(df)
@@ -100,33 +99,23 @@ def _before_cut(head: DataFrame, n: int) -> DataFrame:
 
 
 def top_k(df: DataFrame, column: str, direction: str, n: int | str, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """The first n rows after sorting; pass a unique ``tiebreak`` for a repeatable result."""
+    """The first n rows after sorting; pass a unique ``tiebreak`` for a repeatable result.
+
+    Missing values come last, in the column and in the tie-breaks, whatever n is. Beyond
+    GATHERED_ROWS the n-th row is located exactly and the result is a filter, for numbers,
+    decimals, dates, times, booleans and texts; other types are gathered.
+    """
     n = require_limit(n)
     keys = _sort_keys(df, column, direction, tiebreak)
-    numeric_keys = all(has_number_key(data_type(df, c)) for c in [column, *tiebreak])
-    if n > GATHERED_ROWS and numeric_keys and len(tiebreak) <= 1:
-        ahead = _large_top(df, column, require_direction(direction), n, tiebreak)
-        return order_by(ahead, column, direction, tiebreak)
+    if n > GATHERED_ROWS and all(has_order_chain(data_type(df, c)) for c in [column, *tiebreak]):
+        chain = order_chain(df, column, require_direction(direction))
+        chain += [key for t in tiebreak for key in order_chain(df, t, True)]
+        keyed = df.select("*", *[key.alias(f"{_KEY}_{i}") for i, key in enumerate(chain)], *tie_keys(df, None, hashable(df)))
+        first = first_part(keyed, keyed.columns[len(df.columns) :], n).select(*[col(c) for c in df.columns])
+        return order_by(first, column, direction, tiebreak)
     return df.orderBy(*keys).limit(n)
 
 
-def _large_top(df: DataFrame, column: str, ascending: bool, n: int, tiebreak: Sequence[str]) -> DataFrame:
-    """The rows of a large top-k by comparison with the k-th row, rather than by gathering k rows."""
-    key = number_key(df, column)
-    if not ascending:
-        whole = isinstance(df.select(key).schema[0].dataType, T.LongType)
-        key = F.bitwise_not(key) if whole else -key
-    keyed = df.select("*", key.alias(_KEY), *tie_keys(df, tiebreak, hashable(df)))
-    keys = keyed.columns[len(df.columns) :]
-    valued = keyed.filter(F.col(_KEY).isNotNull())
-    count = valued.count()
-    if count >= n:
-        first = first_part(valued, keys, n)
-    else:
-        first = valued.unionByName(first_part(keyed.filter(F.col(_KEY).isNull()), keys[1:], n - count))
-    return first.select(*[col(c) for c in df.columns])
-
-
 def show(
     df: DataFrame,
     columns: Sequence[str] | None = None,

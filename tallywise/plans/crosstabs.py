@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.aggregates import AGGREGATES, UNDEFINED_WHEN_EMPTY
 from ..functions.predicates import all_of, ge, lt
 from ..operators.crosstab import pivot, pivot_labels
-from .query import Query, on, one_column, ranked, read_table, rounded, sql_aggregate
+from .query import Query, numbered, on, one_column, read_table, rounded, sql_aggregate
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
@@ -101,10 +101,8 @@ QUERIES: dict[str, Query] = {
     ),
     "pivot_ordered_limit": on(
         "lineitem",
-        lambda df: ranked(
-            pivot(df, "l_suppkey", "l_quantity", "SUM", order_by="l_quantity", direction="DESC", limit=10),
-            F.desc("l_quantity"),
-            F.col("l_suppkey"),
+        lambda df: numbered(
+            pivot(df, "l_suppkey", "l_quantity", "SUM", order_by="l_quantity", direction="DESC", limit=10)
         ),
         """SELECT l_suppkey, sum(l_quantity) AS l_quantity,
                   CAST(row_number() OVER (ORDER BY sum(l_quantity) DESC, l_suppkey) AS INTEGER) AS rank
@@ -117,10 +115,8 @@ QUERIES: dict[str, Query] = {
     ),
     "crosstab_ordered_limit": on(
         "lineitem",
-        lambda df: ranked(
-            pivot(df, "l_suppkey", "l_quantity", "SUM", "l_linestatus", order_by="F", direction="DESC", limit=10),
-            F.desc("F"),
-            F.col("l_suppkey"),
+        lambda df: numbered(
+            pivot(df, "l_suppkey", "l_quantity", "SUM", "l_linestatus", order_by="F", direction="DESC", limit=10)
         ),
         f"""SELECT *, CAST(row_number() OVER (ORDER BY "F" DESC, l_suppkey) AS INTEGER) AS rank
             FROM (SELECT l_suppkey, {_cells('SUM', 'l_quantity', 'l_linestatus', ('F', 'O'))}

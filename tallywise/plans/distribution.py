@@ -11,7 +11,7 @@ from ..functions.predicates import any_of, gt, lt
 from ..operators.bins import deciles, equal_count_bins, equal_width_bins, percentiles
 from ..operators.statistics import exact_quantiles, iqr_filter, iqr_report, profile, value_counts
 from .crosstabs import EVENT_TYPES, GAPS_SQL, events_with_gaps
-from .query import Query, on, ranked, read_table, rounded, sql_aggregate
+from .query import Query, numbered, on, read_table, rounded, sql_aggregate
 
 _PROBS = (0.0, 0.01, 0.25, 0.333, 0.5, 0.75, 0.99, 1.0)
 
@@ -255,9 +255,7 @@ QUERIES: dict[str, Query] = {
     ),
     "deciles_ordered_limit": on(
         "events",
-        lambda df: ranked(
-            deciles(df, "value", "user_id", "SUM", order_by="sum", direction="DESC", limit=4), F.desc("sum")
-        ),
+        lambda df: numbered(deciles(df, "value", "user_id", "SUM", order_by="sum", direction="DESC", limit=4)),
         _DECILES_SORTED,
     ),
     "deciles_where": on(
@@ -282,10 +280,11 @@ QUERIES: dict[str, Query] = {
     ),
     "percentiles_by_label_text": on(
         "events",
-        lambda df: percentiles(
-            df, "value", "event_id", "COUNT", tiebreak="event_id", order_by="percentile", direction="DESC"
+        lambda df: numbered(
+            percentiles(df, "value", "event_id", "COUNT", tiebreak="event_id", order_by="percentile", direction="DESC")
         ),
-        _by_bin(_PERCENTILES, "percentile", "COUNT", "event_id", True),
+        f"""SELECT *, CAST(row_number() OVER (ORDER BY percentile DESC) AS INTEGER) AS rank
+            FROM ({_by_bin(_PERCENTILES, "percentile", "COUNT", "event_id", True)})""",
     ),
     "percentiles_heavy_ties": on(
         "lineitem",

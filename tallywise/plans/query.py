@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import col
+from ..sources.workspace import fresh_path
+
+__all__ = ["Query", "digits_of", "fresh_path", "numbered", "on", "one_column", "read_table", "rounded", "sql_aggregate"]
 
 
 @dataclass(frozen=True)
@@ -32,9 +32,10 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def ranked(df: DataFrame, *order: Column) -> DataFrame:
-    """Number the rows of a top-k result, so that a comparison of row sets also checks order."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+def numbered(df: DataFrame) -> DataFrame:
+    """Number the rows of a small result as they come, so that a comparison of row sets checks their order."""
+    placed = df.withColumn("__place", F.monotonically_increasing_id())
+    return placed.withColumn("rank", F.row_number().over(Window.orderBy("__place"))).drop("__place")
 
 
 def rounded(df: DataFrame, agg: str = "") -> DataFrame:
@@ -58,13 +59,6 @@ def one_column(spark: SparkSession, name: str, type_name: str, values: Sequence)
     return spark.createDataFrame([(v,) for v in values], f"{name} {type_name}")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share, or in a temporary one if none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tallywise-")
-    return os.path.join(folder, name)
-
-
 # SQL spellings of the aggregates; sums of integers are 128 bits wide in the SQL engine.
 SQL_AGGREGATES = {
     "SUM": "coalesce(sum({v}){f}, 0)",

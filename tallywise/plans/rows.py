@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import all_of, any_of, eq, ge, gt, le, like, lt, ne, regex_like
 from ..operators.rows import limit, match_count, order_by, show, top_k, view, where
-from .query import Query, on, ranked
+from .query import Query, numbered, on
 
 
 def _filter(predicate, sql_condition: str) -> Query:
@@ -32,13 +32,27 @@ def _full_clause(df: DataFrame) -> DataFrame:
         limit=25,
         tiebreak=["o_orderkey"],
     )
-    return ranked(shown, F.desc("o_totalprice"), F.col("o_orderkey"))
+    return numbered(shown)
 
 
 def _nulls_last(df: DataFrame) -> DataFrame:
     rare = df.select("event_id", F.expr("CASE WHEN value > 250 THEN value END").alias("v"))
     first = top_k(rare, "v", "DESC", 400, ["event_id"])
-    return ranked(first, F.desc_nulls_last("v"), F.col("event_id"))
+    return numbered(first)
+
+
+# A tie-break with gaps, a text that names the row, and a decimal.
+_LARGE = [
+    "l_quantity",
+    "CASE WHEN l_orderkey % 2 = 0 THEN l_linenumber END AS gap",
+    "l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey AS line",
+    "CAST(l_extendedprice AS DECIMAL(38, 10)) AS price",
+]
+_LARGE_SQL = f"SELECT {', '.join(_LARGE)} FROM lineitem"
+
+
+def _large_top(column: str, direction: str, tiebreak: list[str], *shown: str):
+    return lambda df: top_k(df.selectExpr(*_LARGE), column, direction, 11_000, tiebreak).select(*shown)
 
 
 QUERIES: dict[str, Query] = {
@@ -97,15 +111,54 @@ QUERIES: dict[str, Query] = {
         lambda df: match_count(df, all_of(ge("l_quantity", 25), ne("l_returnflag", "N"))),
         "SELECT count(*) AS matches FROM lineitem WHERE l_quantity >= 25 AND l_returnflag <> 'N'",
     ),
+    # Suppliers and parts are small enough for their rows to be numbered as they come.
     "order_asc": on(
-        "orders",
-        lambda df: order_by(df, "o_totalprice", "ASC", ["o_orderkey"]).select("o_orderkey", "o_totalprice"),
-        "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey",
+        "supplier",
+        lambda df: numbered(order_by(df, "s_acctbal", "ASC", ["s_suppkey"]).select("s_suppkey", "s_acctbal")),
+        """SELECT s_suppkey, s_acctbal, CAST(row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS INTEGER) AS rank
+           FROM supplier""",
     ),
     "order_desc": on(
+        "part",
+        lambda df: numbered(order_by(df, "p_brand", "DESC", ["p_partkey"]).select("p_partkey", "p_brand")),
+        """SELECT p_partkey, p_brand, CAST(row_number() OVER (ORDER BY p_brand DESC, p_partkey) AS INTEGER) AS rank
+           FROM part""",
+    ),
+    "limit_after_sort": on(
+        "orders",
+        lambda df: numbered(
+            limit(order_by(df, "o_totalprice", "DESC", ["o_orderkey"]), 30).select("o_orderkey", "o_totalprice")
+        ),
+        """SELECT o_orderkey, o_totalprice,
+                  CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank
+           FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30""",
+    ),
+    "top_k_large": on(
+        "lineitem",
+        _large_top("l_quantity", "DESC", ["gap", "line"], "l_quantity", "gap", "line"),
+        f"""SELECT l_quantity, gap, line FROM ({_LARGE_SQL})
+            ORDER BY l_quantity DESC, gap NULLS LAST, line LIMIT 11000""",
+    ),
+    "top_k_large_decimal": on(
+        "lineitem",
+        _large_top("price", "ASC", ["line"], "line"),
+        f"SELECT line FROM ({_LARGE_SQL}) ORDER BY price, line LIMIT 11000",
+    ),
+    "top_k_large_text": on(
+        "lineitem",
+        _large_top("line", "DESC", [], "line"),
+        f"SELECT line FROM ({_LARGE_SQL}) ORDER BY line DESC LIMIT 11000",
+    ),
+    "where_eq_long": on(
         "orders",
-        lambda df: order_by(df, "o_orderpriority", "DESC").select("o_orderkey", "o_orderpriority"),
-        "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC",
+        lambda df: where(df.selectExpr("9007199254740990 + o_orderkey AS big"), eq("big", 9007199254740993)),
+        "SELECT 9007199254740990 + o_orderkey AS big FROM orders WHERE 9007199254740990 + o_orderkey = 9007199254740993",
+    ),
+    "where_decimal": on(
+        "part",
+        lambda df: where(df.selectExpr("p_partkey", "CAST(p_retailprice AS DECIMAL(20, 2)) AS price"), gt("price", 950.005))
+        .selectExpr("p_partkey"),
+        "SELECT p_partkey FROM part WHERE CAST(p_retailprice AS DECIMAL(20, 2)) > 950.005",
     ),
     "order_nulls_last": on(
         "events",
@@ -126,10 +179,8 @@ QUERIES: dict[str, Query] = {
     ),
     "top_k": on(
         "orders",
-        lambda df: ranked(
-            top_k(df, "o_totalprice", "ASC", 50, ["o_orderkey"]).select("o_orderkey", "o_totalprice"),
-            F.col("o_totalprice"),
-            F.col("o_orderkey"),
+        lambda df: numbered(
+            top_k(df, "o_totalprice", "ASC", 50, ["o_orderkey"]).select("o_orderkey", "o_totalprice")
         ),
         """SELECT o_orderkey, o_totalprice,
                   CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS INTEGER) AS rank

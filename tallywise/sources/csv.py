@@ -20,33 +20,65 @@ BOOLEANS = ("true", "false")
 INT64, NEGATIVE, UINT64, HUGE, REAL, BOOLEAN, TEXT = (1 << i for i in range(7))
 
 _EXTRA = "_extra_field"
+# Most columns that a record may have unless the caller says otherwise.
+MAX_COLUMNS = 100_000
 _UINT64 = T.DecimalType(20, 0)
 _UINT64_MAX = Decimal(2**64 - 1)
 
 
-def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str | list[str], multi_line: bool = False, max_columns: int = MAX_COLUMNS
+) -> DataFrame:
     """Read comma-separated text with a header row into a typed table.
 
     Types are inferred from every row (see ``infer_types``). A row with more fields than the
-    header is an error; a shorter one is padded with missing values. Blank lines are skipped.
-    ``multi_line`` allows line breaks inside quotes, but then a file cannot be split.
+    header is an error, whatever the surplus fields hold; a shorter one is padded with missing
+    values. The files of a folder must agree on their header. Blank lines are skipped.
+    ``multi_line`` allows line breaks inside quotes, but then a file cannot be split. More than
+    ``max_columns`` columns are an error.
     """
-    text = read_csv_text(spark, path, multi_line)
+    text = read_csv_text(spark, path, multi_line, max_columns)
     return infer_types(normalise_missing(text), reject=_EXTRA)
 
 
-def read_csv_text(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
-    """The fields as text, with one additional column for what exceeds the header."""
-    options = {"quote": '"', "escape": '"', "multiLine": multi_line, "encoding": "UTF-8"}
-    first = spark.read.options(header=False, maxColumns=100_000, **options).csv(path).limit(1).collect()
+def read_csv_text(
+    spark: SparkSession, path: str | list[str], multi_line: bool = False, max_columns: int = MAX_COLUMNS
+) -> DataFrame:
+    """The fields as text, with one additional column: the whole record where it exceeds the header."""
+    options = {"quote": '"', "escape": '"', "multiLine": multi_line, "encoding": "UTF-8", "maxColumns": max_columns}
+    records = spark.read.options(header=False, **options).csv(path)
+    first = records.limit(1).collect()
     if not first:
         raise ValueError(f"no header row in {path}")
     names = header_names(first[0])
+    renamed = names != list(first[0])
+    if renamed:
+        _require_same_header(spark, path, records)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _EXTRA]])
+    # The reader puts records of another length aside; it compares headers unless names were changed.
     reader = spark.read.schema(schema).options(
-        header=True, enforceSchema=True, maxColumns=100_000, **options
+        header=True, enforceSchema=renamed, mode="PERMISSIVE", columnNameOfCorruptRecord=_EXTRA, **options
     )
-    return reader.csv(path)
+    table = reader.csv(path)
+    return table.select(*[col(n) for n in names], F.when(_fields(col(_EXTRA)) > len(names), col(_EXTRA)).alias(_EXTRA))
+
+
+def _fields(record: Column) -> Column:
+    """Number of fields of a raw record: separators outside quotes, and one."""
+    bare = F.regexp_replace(record, '"(?:[^"]|"")*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+
+
+def _require_same_header(spark: SparkSession, path: str | list[str], records: DataFrame) -> None:
+    """Headers with empty or repeated names are compared as lines of text, the first of each file."""
+    if len(records.inputFiles()) < 2:
+        return
+    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    placed = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    place = F.struct(F.col("block"), F.monotonically_increasing_id())
+    headers = placed.groupBy("file").agg(F.min_by("value", place).alias("header")).select("header").distinct()
+    if len(headers.limit(2).collect()) > 1:
+        raise ValueError(f"the files of {path} have different headers")
 
 
 def header_names(fields: Row | list[str | None]) -> list[str]:

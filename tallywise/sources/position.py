@@ -31,7 +31,7 @@ def has_row_index(df: DataFrame) -> bool:
 
 
 def _metadata_fields(df: DataFrame) -> list[str]:
-    if not df.inputFiles():
+    if not _plain_read(df) or not df.inputFiles():
         return []
     try:
         return df.select("_metadata").schema[0].dataType.names
@@ -39,6 +39,13 @@ def _metadata_fields(df: DataFrame) -> list[str]:
         return []
 
 
+def _plain_read(df: DataFrame) -> bool:
+    """Whether the table is read, filtered and projected only; a sort or an aggregate makes an order of its own."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    nodes = re.findall(r"^[ :+-]*(?:'|!)?([A-Z][A-Za-z]*)", plan, re.M)
+    return all(node in ("Project", "Filter", "Relation", "SubqueryAlias", "View") for node in nodes)
+
+
 def with_position(df: DataFrame) -> DataFrame:
     """Add the POSITION_COLUMNS; sorting by them restores file order."""
     position = position_of(df)

@@ -117,10 +117,16 @@ def test_odd_column_names(spark):
         (lambda df: tw.pivot(df, "k", "v", "SUM", "k"), ValueError),
         (lambda df: tw.pivot(df, "k", "v", "SUM", order_by="v", direction="down"), ValueError),
         (lambda df: tw.pivot(df, "k", "v", "SUM", limit=0), ValueError),
-        (lambda df: tw.pivot(df.withColumnRenamed("k", "x"), "x", "v", "SUM", "c"), ValueError),
         (lambda df: tw.pivot_labels(df, "nope"), ValueError),
     ],
 )
 def test_errors(df, call, error):
     with pytest.raises(error):
         call(df)
+
+
+def test_a_label_may_have_the_row_columns_name(df):
+    shown = tw.pivot(df.withColumnRenamed("k", "x"), "x", "v", "SUM", "c")
+    plain = tw.pivot(df, "k", "v", "SUM", "c")
+    assert shown.columns == ["x", *[c + "'" if c == "x" else c for c in plain.columns[1:]]]
+    assert shown.collect() == plain.collect()

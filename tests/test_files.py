@@ -121,3 +121,39 @@ def test_write_json(spark, tmp_path):
     assert spark.read.json(path).count() == 7
     with pytest.raises(ValueError):
         tw.write_json(df, path, ["s"], order_by="id")
+
+
+@pytest.mark.parametrize("row", ["3,4,NA", "3,4,", "3,4,,x", '3,"4,5",', '"3","4","5"'])
+def test_surplus_fields_raise_whatever_they_hold(spark, tmp_path, row):
+    path = tmp_path / "t.csv"
+    path.write_text(f"a,b\n1,2\n{row}\n")
+    with pytest.raises(ValueError, match="more fields"):
+        tw.read_csv(spark, str(path))
+
+
+def test_short_rows_are_padded(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('a,b\n1,"x,y"\n2\n3,z\n')
+    assert [tuple(r) for r in tw.read_csv(spark, str(path)).orderBy("a").collect()] == [(1, "x,y"), (2, None), (3, "z")]
+
+
+@pytest.mark.parametrize("headers", [("a,b", "b,a"), ("a,a", "a,b")])
+def test_files_with_different_headers_raise(spark, tmp_path, headers):
+    for i, header in enumerate(headers):
+        (tmp_path / f"{i}.csv").write_text(f"{header}\n1,x\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tw.read_csv(spark, str(tmp_path)).collect()
+
+
+def test_work_folder_must_be_shared(spark):
+    from types import SimpleNamespace
+
+    from tallywise.sources.workspace import fresh_path
+
+    def session(master, folder):
+        conf = SimpleNamespace(get=lambda key, default=None: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    assert fresh_path(session("spark://host:7077", "hdfs://x/work/"), "t").startswith("hdfs://x/work/")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        fresh_path(session("spark://host:7077", None), "t")

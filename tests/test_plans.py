@@ -91,3 +91,10 @@ def test_outlier_filter_is_pushed(events):
 def test_json_records_stay_in_the_scan_stage(events):
     text = plan(tw.to_json_records(events))
     assert "Exchange" not in text and "Python" not in text
+
+
+def test_decimal_comparisons_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(10).selectExpr("CAST(id AS DECIMAL(20, 2)) AS d").write.parquet(path)
+    found = tw.where(spark.read.parquet(path), tw.gt("d", 3.001))
+    assert "GreaterThan(d,3.00)" in found._jdf.queryExecution().executedPlan().toString()

@@ -105,3 +105,41 @@ def test_predicate_errors(df, predicate, error):
 def test_empty_group():
     with pytest.raises(ValueError):
         tw.all_of()
+
+
+@pytest.fixture(scope="module")
+def typed(spark):
+    rows = [(1, 9007199254740992, "1.10", 0.1, "5", "2024-05-01"), (2, 9007199254740993, "2.00", 0.5, "05", "2024-05-02")]
+    raw = spark.createDataFrame(rows, "id long, big long, d string, f double, s string, day string")
+    casts = ["id", "big", "CAST(d AS DECIMAL(20, 2)) d", "CAST(f AS FLOAT) f", "s", "CAST(day AS DATE) day"]
+    return raw.selectExpr(*casts)
+
+
+@pytest.mark.parametrize(
+    "predicate, want",
+    [
+        (tw.eq("big", 9007199254740993), [2]),
+        (tw.eq("big", "9007199254740993"), [2]),
+        (tw.gt("big", 9007199254740992), [2]),
+        (tw.lt("big", 10**30), [1, 2]),
+        (tw.gt("big", 10**30), []),
+        (tw.ne("big", 10**30), [1, 2]),
+        (tw.ge("big", -float("inf")), [1, 2]),
+        (tw.gt("d", 1.1), [2]),
+        (tw.ge("d", "1.101"), [2]),
+        (tw.le("d", 1.999), [1]),
+        (tw.eq("d", 1.105), []),
+        (tw.eq("f", 0.1), [1]),
+        (tw.eq("s", 5), [1]),
+        (tw.ne("s", 5), [2]),
+        (tw.eq("day", "2024-05-02"), [2]),
+    ],
+)
+def test_literals_keep_the_columns_type(typed, predicate, want):
+    assert sorted(r["id"] for r in tw.where(typed, predicate).collect()) == want
+
+
+def test_literals_that_cannot_be_dates_raise(typed):
+    for value in ("soon", 5):
+        with pytest.raises(TypeError):
+            tw.where(typed, tw.eq("day", value))

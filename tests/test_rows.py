@@ -139,3 +139,42 @@ def test_position_needs_files(spark):
 def test_argument_errors(df, call):
     with pytest.raises(ValueError):
         call(df)
+
+
+def test_limit_respects_a_sort_before_it(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0, 1_000, 1, 5).selectExpr("id", "id * 7919 % 1009 AS x").write.parquet(path)
+    table = spark.read.parquet(path)
+    want = [r.id for r in sorted(table.collect(), key=lambda r: -r.x)[:5]]
+    assert ids(tw.limit(tw.order_by(table, "x", "DESC"), 5)) == want
+    assert ids(tw.show(tw.order_by(table, "x", "DESC"), limit=5)) == want
+    assert ids(tw.limit(tw.order_by(table, "x", "DESC").filter("id >= 0").select("id"), 5)) == want
+
+
+@pytest.mark.parametrize("direction", ["ASC", "DESC"])
+@pytest.mark.parametrize("column, tiebreak", [("tie", ["gap", "id"]), ("d", ["id"]), ("s", ["id"]), ("wide", ["s", "id"])])
+def test_rows_do_not_depend_on_the_route(spark, monkeypatch, direction, column, tiebreak):
+    from tallywise.operators import rows
+
+    df = spark.range(1_500).selectExpr(
+        "id",
+        "1 AS tie",
+        "IF(id % 2 = 0, NULL, id % 7 - 3.5D) AS gap",
+        "CAST(id * 7919 % 1009 - 500 AS DECIMAL(38, 10)) / 3 AS d",
+        "IF(id % 50 = 0, NULL, CAST(id * 7919 % 1009 - 500 AS DECIMAL(12, 2))) AS wide",
+        "IF(id % 9 = 0, NULL, repeat(chr(97 + int(id % 5)), int(id % 17))) AS s",
+    )
+    want = ids(tw.top_k(df, column, direction, 800, tiebreak))
+    monkeypatch.setattr(rows, "GATHERED_ROWS", 50)
+    located = tw.top_k(df, column, direction, 800, tiebreak)
+    assert ids(located) == want
+    assert "TakeOrdered" not in located._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sorted_rows_come_in_order(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    got = [r.o_totalprice for r in tw.order_by(orders, "o_totalprice", "DESC").collect()]
+    assert got == sorted(got, reverse=True)
+    shown = tw.show(orders, ["o_orderkey", "o_totalprice"], where=tw.lt("o_totalprice", 50000.5), order_by="o_totalprice")
+    got = [r.o_totalprice for r in shown.collect()]
+    assert got == sorted(got)
