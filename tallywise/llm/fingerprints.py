@@ -10,11 +10,13 @@ the generalised Jaccard similarity of their weights (sum of minima over sum of m
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ from .shared import small
 SAMPLES = 64
 # Terms are hashed to so many buckets, whose draws are tabled; a worker's tables take 48 MB.
 BUCKETS = 1 << 16
-# Documents that follow one another by id are dealt to shards of about this many.
-SHARD_ROWS = 5_000
+# Documents that follow one another by id are dealt to shards of about this many rows, but to no
+# more shards than MAX_SHARDS; a larger shard is only a longer stream for its task.
+SHARD_ROWS, MAX_SHARDS = 5_000, 8_192
 _DIGITS = 8
 
 
@@ -109,21 +112,27 @@ def with_successor(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Ranges of ids are shards. The first row of the next shard comes along as ``lent`` at the
     end, and the last shard borrows the first row of all; only ids are looked at to find them.
-    Equal ids are ordered by a hash of their texts, null ids come last.
+    Ids are
+    numbers; equal ones are ordered by a hash of their texts, null ids come last.
     """
     rows = docs.select(
         F.col(f"`{id_column}`").alias("id"),
         F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"),
         F.xxhash64(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))).alias("tie"),
     )
-    count = docs.count()
-    pieces = max(1, -(-count // SHARD_ROWS))
+    pieces = min(max(1, -(-docs.count() // SHARD_ROWS)), MAX_SHARDS)
     at = [k / pieces for k in range(1, pieces)]
-    cuts = rows.select(F.percentile_approx("id", at, 10_000)).first()[0] if at else None
-    cuts = sorted(set(cuts or []))
-    shard = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col("id"))) if cuts else F.lit(0)
-    shard = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(shard)
-    placed = rows.withColumn("shard", shard.cast("int"))
+    number = F.col("id").cast("double")
+    cuts = rows.select(F.percentile_approx(number, at, 4 * MAX_SHARDS)).first()[0] if at else None
+    splits = [-math.inf, *sorted(set(cuts or [])), math.inf]
+    # Shards count down from the largest ids; null ids make the last one.
+    placed = rows.withColumn("number", number)
+    if len(splits) > 2:
+        placed = Bucketizer(splits=splits, inputCol="number", outputCol="range", handleInvalid="keep").transform(placed)
+        shard = F.when(F.col("id").isNull(), F.lit(len(splits))).otherwise(len(splits) - 2 - F.col("range"))
+    else:
+        shard = F.col("id").isNull()
+    placed = placed.select("id", "text", "tie", shard.cast("int").alias("shard"))
     # One row per shard: its first row, lent to the shard before it (the first of all to the last).
     heads = placed.groupBy("shard").agg(F.max(F.struct(F.col("id"), F.bitwise_not("tie").alias("tie"))).alias("head"))
     around = Window.orderBy("shard")
