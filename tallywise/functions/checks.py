@@ -55,3 +55,11 @@ def require_numeric(df: DataFrame, name: str, purpose: str) -> None:
     dt = data_type(df, name)
     if not is_numeric(dt):
         raise TypeError(f"{purpose} needs a numeric column, {name!r} is {dt.simpleString()}")
+
+
+def require_rankable(df: DataFrame, name: str, purpose: str) -> None:
+    """A numeric column whose values keep their order as 64-bit numbers: decimals of at most 15 digits do."""
+    require_numeric(df, name, purpose)
+    dt = data_type(df, name)
+    if isinstance(dt, T.DecimalType) and dt.precision > 15:
+        raise TypeError(f"{purpose} needs at most 15 digits, {name!r} is {dt.simpleString()}; cast it to double or bigint")

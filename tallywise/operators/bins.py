@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.aggregates import UNDEFINED_WHEN_EMPTY, check_aggregate
-from ..functions.checks import data_type, require_columns, require_direction, require_limit, require_numeric
+from ..functions.checks import data_type, require_columns, require_direction, require_limit, require_rankable
 from ..functions.missing import col, is_present, present
 from ..functions.predicates import Predicate
 from .crosstab import CELL, LABEL, VALUE, apart_from, spread, value_column
@@ -132,7 +132,7 @@ def _bin_key(df: DataFrame, column: str) -> Column:
 
 def _check_bin_column(df: DataFrame, column: str) -> None:
     require_columns(df, [column])
-    require_numeric(df, column, "binning")
+    require_rankable(df, column, "binning")
 
 
 def equal_width_bins(

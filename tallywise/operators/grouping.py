@@ -15,6 +15,8 @@ from .selection import SPLITS, bucketed, one_value_buckets, sketch_splits
 
 # Values of one group that a single task may hold to compute a median.
 MEDIAN_GROUP_ROWS = 1_000_000
+# Large groups whose keys are broadcast.
+MEDIAN_HOT_GROUPS = 1_000_000
 # Most value ranges used for medians of larger groups: cells of 10**12 rows stay near 10**8.
 MEDIAN_RANGES = 8_192
 
@@ -36,12 +38,26 @@ def aggregate(
         df = df.filter(F.col(value).isNotNull())
     if agg == "MEDIAN" and (rows is None or rows > group_rows):
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
-        if largest is not None and largest > group_rows:
-            return spread_median(df, keys, value, out, total)
+        hot = sizes.filter(F.col("n") > group_rows)
+        groups, total = hot.agg(F.count(F.lit(1)), F.sum("n")).first()
+        if groups:
+            return _by_group_size(df, keys, value, out, hot.select(*keys), groups, total)
     return df.groupBy(*keys).agg(aggregate_column(F.col(value), agg).alias(out))
 
 
+def _by_group_size(
+    df: DataFrame, keys: list[str], value: str, out: str, hot: DataFrame, groups: int, total: int
+) -> DataFrame:
+    """Medians of groups too large for one task by counting, of all others by Spark's own.
+
+    The large groups are at most one for every MEDIAN_GROUP_ROWS rows, so their keys are a
+    small table; it is broadcast once its count shows it.
+    """
+    keyed = F.broadcast(hot) if groups <= MEDIAN_HOT_GROUPS else hot
+    others = df.join(keyed, keys, "left_anti").groupBy(*keys).agg(F.median(value).alias(out))
+    return spread_median(df.join(keyed, keys, "left_semi"), keys, value, out, total).unionByName(others)
+
+
 def spread_median(df: DataFrame, keys: list[str], value: str, out: str, rows: int) -> DataFrame:
     """Exact median per group without bringing any group together.
 

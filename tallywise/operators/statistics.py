@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.checks import data_type, require_columns, require_numeric
+from ..functions.checks import data_type, require_columns, require_rankable
 from ..functions.missing import col, drop_missing, is_present, number, present
 from .parts import number_key
 from .selection import SORTABLE_ROWS, Position, positions
@@ -90,7 +90,7 @@ def exact_quantiles(
 ) -> list[float | None]:
     """Quantiles of a numeric column with linear interpolation, ignoring missing values."""
     require_columns(df, [column])
-    require_numeric(df, column, "a quantile")
+    require_rankable(df, column, "a quantile")
     probs = [float(p) for p in probs]
     if any(not 0 <= p <= 1 for p in probs):
         raise ValueError("quantile probabilities must lie between 0 and 1")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.aggregates import AGGREGATES, UNDEFINED_WHEN_EMPTY
 from ..functions.predicates import all_of, ge, lt
 from ..operators.crosstab import pivot, pivot_labels
+from ..operators.grouping import aggregate
 from .query import Query, numbered, on, one_column, read_table, rounded, sql_aggregate
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
@@ -99,6 +100,14 @@ QUERIES: dict[str, Query] = {
         lambda df: pivot(df, "l_linenumber", "l_linenumber", "SUM"),
         """SELECT l_linenumber, CAST(sum(l_linenumber) AS BIGINT) AS "sum" FROM lineitem GROUP BY l_linenumber""",
     ),
+    # The route of groups too large for a task, here taken by the larger suppliers.
+    "median_of_large_groups": on(
+        "lineitem",
+        lambda df: rounded(
+            aggregate(df.select("l_suppkey", "l_extendedprice"), ["l_suppkey"], "l_extendedprice", "MEDIAN", "m", group_rows=590)
+        ),
+        "SELECT l_suppkey, round(median(l_extendedprice), 7) AS m FROM lineitem GROUP BY l_suppkey",
+    ),
     "pivot_ordered_limit": on(
         "lineitem",
         lambda df: numbered(

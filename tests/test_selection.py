@@ -147,3 +147,21 @@ def test_numpy_agrees_on_interpolation(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     probs = np.linspace(0, 1, 37).tolist()
     assert tw.exact_quantiles(df, "v", probs) == pytest.approx(np.quantile(values, probs).tolist(), rel=1e-14)
+
+
+def test_one_hot_and_many_small_groups(spark):
+    df = spark.range(30_000).selectExpr("IF(id % 3 = 0, -1, id) AS k", "id * 7919 % 30011 * 1.0D AS v")
+    plain, spread = (
+        {r["k"]: r["m"] for r in aggregate(df, ["k"], "v", "MEDIAN", "m", group_rows=n).collect()} for n in (10**6, 1_000)
+    )
+    assert spread == plain and len(plain) == 20_001
+
+
+def test_long_decimals_are_not_ranked(spark):
+    import tallywise as tw
+
+    df = spark.range(20).selectExpr("CAST(id AS DECIMAL(38, 10)) / 3 AS d", "CAST(id AS DECIMAL(12, 2)) AS short")
+    for call in (lambda c: tw.exact_quantiles(df, c, [0.5]), lambda c: tw.equal_count_bins(df, c)):
+        with pytest.raises(TypeError):
+            call("d")
+        call("short")
