@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.workspace import ship_package, stored
@@ -242,14 +242,28 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     labelled = stored(labelled.select("id", F.coalesce("component", "id").alias("group")), "labelled")
     common = _common_tokens(unique, sketches.count())
     matrix = _prefix_tokens(unique.join(small(labelled), "id").select("id", "text", "group"), common)
-    matrix_rows = stored(matrix, "matrix")
-    token = matrix_rows.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high")
-    shared = matrix_rows.join(small(stored(token.select("token"), "shared")), "token", "left_semi")
-    shared = stored(shared.groupBy("token", "group").agg(F.min("least").alias("least"), F.max("most").alias("most")), "rows")
+    # One shuffle by token serves both steps: merging a group's rows, and keeping tokens of several groups.
+    merged = matrix.repartition("token").groupBy("token", "group")
+    merged = merged.agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    by_token = Window.partitionBy("token").orderBy("group")
+    beside = F.coalesce(F.lag("group").over(by_token), F.lead("group").over(by_token))
+    shared = stored(merged.withColumn("beside", beside).filter("beside IS NOT NULL").drop("beside"), "matrix")
     a, b = shared.alias("a"), shared.alias("b")
-    fitting = (F.col("a.least") * PERCENT <= F.col("b.most") * 100) & (F.col("b.least") * PERCENT <= F.col("a.most") * 100)
-    meeting = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.group") < F.col("b.group")) & fitting)
-    meeting = stored(meeting.select(F.col("a.group").alias("x"), F.col("b.group").alias("y")).distinct(), "meeting")
+    meeting = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.group") < F.col("b.group")))
+    meeting = meeting.groupBy(F.col("a.group").alias("x"), F.col("b.group").alias("y")).agg(
+        F.count(F.lit(1)).alias("tokens"),
+        F.least(F.min("a.least"), F.min("b.least")).alias("least"),
+        F.greatest(F.max("a.most"), F.max("b.most")).alias("most"),
+        F.max("a.most").alias("x_most"),
+        F.max("b.most").alias("y_most"),
+        F.min("a.least").alias("x_least"),
+        F.min("b.least").alias("y_least"),
+    )
+    sizes_fit = (F.col("x_least") * PERCENT <= F.col("y_most") * 100) & (F.col("y_least") * PERCENT <= F.col("x_most") * 100)
+    # Of sizes a >= b, an overlap of p / (1 + p) of a + b is needed, and less than p of a lies beyond
+    # the looked-up tokens of either side; so the looked-up tokens alone must share the difference.
+    enough = F.col("tokens") * (100 * (100 + PERCENT)) > PERCENT * (100 * F.col("least") - PERCENT * F.col("most"))
+    meeting = stored(meeting.filter(sizes_fit & enough).select("x", "y"), "meeting")
 
     # The smaller group's members are the queries, the larger one is opened block by block.
     sizes = labelled.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
