@@ -24,12 +24,14 @@ from .shared import small, with_group
 WORDS = 5
 PERCENT = 75
 # Sketches: hash minima per document, in bands of ROWS; documents that agree on a band are tried as a group.
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 10, 3
 # Members of a group that one task holds.
 BLOCK = 512
 # Documents whose tokens tell which tokens are common; common tokens are looked up last.
 SAMPLE_DOCS = 10_000
-COMMON_IN_SAMPLE, COMMON_TOKENS = 4, 500_000
+COMMON_IN_SAMPLE, COMMON_TOKENS = 4, 1_000_000
+# A token of more groups than this is made common, too, and the matrix built anew.
+CROWDED = 32
 
 
 def _needed(n: np.ndarray | int) -> np.ndarray | int:
@@ -153,7 +155,7 @@ def _similar(matrix, doc: int, tokens: np.ndarray) -> list[int]:
 def _common_tokens(rows: DataFrame, count: int) -> np.ndarray:
     """Tokens that many documents of a bounded sample have; only the order of look-ups depends on it."""
     share = min(1.0, SAMPLE_DOCS / max(count, 1))
-    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(10**12)) < int(share * 10**12))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -198,6 +200,15 @@ def _prefix_tokens(labelled: DataFrame, common: np.ndarray) -> DataFrame:
     return labelled.mapInArrow(run, "token long, group long, least long, most long")
 
 
+def _shared_tokens(matrix: DataFrame) -> DataFrame:
+    """The matrix's tokens that several groups have; one shuffle by token merges rows and compares groups."""
+    merged = matrix.repartition("token").groupBy("token", "group")
+    merged = merged.agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    by_token = Window.partitionBy("token").orderBy("group")
+    beside = F.coalesce(F.lag("group").over(by_token), F.lead("group").over(by_token))
+    return merged.withColumn("beside", beside).filter("beside IS NOT NULL").drop("beside")
+
+
 def _block(id_column: str, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(id_column), blocks)
 
@@ -222,12 +233,16 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     reps = stored(counted.select("id", *content, "rep").distinct(), "reps")
     one = reps.filter("id = rep").select("id", "n")
     # One text per set, and of each row of that id only one.
-    chosen = stored(usable.join(one.select("id"), "id", "left_semi").groupBy("id").agg(F.first("bands").alias("bands")), "chosen")
+    chosen = usable.join(one.select("id"), "id", "left_semi").groupBy("id").agg(F.first("bands").alias("bands"))
+    chosen = stored(chosen, "chosen")
     unique = rows.dropDuplicates(["id"]) if sketches.count() != sketches.select("id").distinct().count() else rows
 
     # Groups: documents that agree on a band of minima, each against one document of the band.
     keyed = chosen.select("id", F.explode("bands").alias("key"))
-    anchors = with_group(keyed, ["key"], "id", {"anchor": F.min_by("id", F.xxhash64("id"))}, {"anchor": F.min_by("anchor", F.xxhash64("anchor"))})
+    # A hash of id and band picks the one, so that a document meets different ones in its bands.
+    picked = F.min(F.struct(F.xxhash64("id", "key").alias("order"), F.col("id").alias("id")))
+    anchors = with_group(keyed, ["key"], "id", {"anchor": picked}, {"anchor": F.min("anchor")})
+    anchors = anchors.withColumn("anchor", F.col("anchor.id"))
     pairs = anchors.filter("anchor <> id").select("anchor", "id").distinct()
     salt = _block("id", F.lit(16))
     tasks = pairs.select(F.xxhash64("anchor", salt).alias("group"), "id", "anchor")
@@ -237,17 +252,24 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     star = stored(_verified(unique, roles), "star")
     groups = stored(components(star), "groups")
 
-    # The matrix, over all groups; a document without links is a group of its own.
-    labelled = one.select("id").join(small(groups).withColumnRenamed("node", "id"), "id", "left")
-    labelled = stored(labelled.select("id", F.coalesce("component", "id").alias("group")), "labelled")
+    # The matrix's groups: linked documents, and with them those that agree with one of them on a
+    # band but are not linked. The latter are compared with all of their group below.
+    at_anchor = pairs.join(small(groups).withColumnRenamed("node", "anchor"), "anchor", "left")
+    nearest = F.coalesce(F.min("component"), F.min("anchor"))
+    around = stored(at_anchor.groupBy("id").agg(nearest.alias("around")), "around")
+    labelled = one.select("id").join(small(groups).withColumnRenamed("node", "id"), "id", "left").join(small(around), "id", "left")
+    labelled = labelled.select("id", F.coalesce("component", "around", "id").alias("group"), F.col("component").isNull().alias("alone"))
+    labelled = stored(labelled, "labelled")
     common = _common_tokens(unique, sketches.count())
-    matrix = _prefix_tokens(unique.join(small(labelled), "id").select("id", "text", "group"), common)
-    # One shuffle by token serves both steps: merging a group's rows, and keeping tokens of several groups.
-    merged = matrix.repartition("token").groupBy("token", "group")
-    merged = merged.agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    by_token = Window.partitionBy("token").orderBy("group")
-    beside = F.coalesce(F.lag("group").over(by_token), F.lead("group").over(by_token))
-    shared = stored(merged.withColumn("beside", beside).filter("beside IS NOT NULL").drop("beside"), "matrix")
+    while True:
+        texts = unique.join(small(labelled), "id").select("id", "text", "group")
+        shared = stored(_shared_tokens(_prefix_tokens(texts, common)), "matrix")
+        crowded = shared.groupBy("token").count().filter(F.col("count") > CROWDED).orderBy(F.desc("count"), "token")
+        crowded = crowded.limit(COMMON_TOKENS).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)
+        more = np.setdiff1d(crowded, common)[: max(0, COMMON_TOKENS - len(common))]
+        if not len(more):
+            break
+        common = np.union1d(common, more)
     a, b = shared.alias("a"), shared.alias("b")
     meeting = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.group") < F.col("b.group")))
     meeting = meeting.groupBy(F.col("a.group").alias("x"), F.col("b.group").alias("y")).agg(
@@ -265,21 +287,24 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     enough = F.col("tokens") * (100 * (100 + PERCENT)) > PERCENT * (100 * F.col("least") - PERCENT * F.col("most"))
     meeting = stored(meeting.filter(sizes_fit & enough).select("x", "y"), "meeting")
 
-    # The smaller group's members are the queries, the larger one is opened block by block.
-    sizes = labelled.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    # The smaller group's members are the queries, the larger one is opened block by block; and a
+    # group's members without a link ask their own group.
+    sizes = stored(labelled.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.max("alone").alias("alone")), "sizes")
     sized = meeting.join(sizes.select(F.col("group").alias("x"), F.col("size").alias("sx")), "x")
     sized = sized.join(sizes.select(F.col("group").alias("y"), F.col("size").alias("sy")), "y")
     smaller = F.col("sx") < F.col("sy")
     sized = sized.select(
         F.when(smaller, F.col("x")).otherwise(F.col("y")).alias("asking"),
         F.when(smaller, F.col("y")).otherwise(F.col("x")).alias("opened"),
-        F.ceil(F.greatest("sx", "sy") / BLOCK).alias("blocks"),
+        F.greatest("sx", "sy").alias("size"),
     )
-    each = sized.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    asking = each.join(labelled.withColumnRenamed("group", "asking"), "asking").select(
+    own = sizes.filter("alone AND size > 1").select(F.col("group").alias("asking"), F.col("group").alias("opened"), "size")
+    opening = sized.unionByName(own).withColumn("blocks", F.ceil(F.col("size") / BLOCK)).drop("size")
+    each = opening.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    asking = each.join(labelled.withColumnRenamed("group", "asking"), "asking").filter("asking <> opened OR alone").select(
         F.xxhash64("opened", "block").alias("group"), "id", F.lit(True).alias("query")
     )
-    opened = sized.select("opened", "blocks").distinct().join(labelled.withColumnRenamed("group", "opened"), "opened")
+    opened = opening.select("opened", "blocks").distinct().join(labelled.withColumnRenamed("group", "opened"), "opened")
     opened = opened.select(
         F.xxhash64("opened", _block("id", F.col("blocks"))).alias("group"), "id", F.lit(False).alias("query")
     )
