@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.workspace import ship_package
-from .buffers import Texts, slices, texts_of
+from .buffers import Texts, kept_between_tasks, slices, texts_of
 from .vocab import IdPool, WordEncoder, encoder, places
 
 # Bytes the rolling hash sees; chunks average 2**CHUNK_BITS bytes.
@@ -86,6 +86,9 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(encoder(path))
 
 
+kept_between_tasks(chunk_encoder.cache_clear)
+
+
 def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(counts)])
     return pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
@@ -148,7 +151,7 @@ def _coded(docs, vocabulary, id_column, text_column, schema, finish) -> DataFram
     near = rows.withColumn("opening", opening).hint("rebalance", "opening").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", keep=True):
             ids, counts = chunk_encoder(vocabulary).encode(texts_of(batch.column(1)))
             columns = finish(_lists(ids, counts))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_column, *names])

@@ -7,7 +7,7 @@ hashed with whole-array operations.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text handled at once; a longer single text is handled alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _IS_WORD = np.ones(256, np.bool_)
@@ -24,6 +24,8 @@ _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 IS_LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+# What a worker keeps between tasks; operators that need none of it let go of all.
+_kept: list[Callable[[], None]] = []
 _powers = {"base": np.ones(1, np.uint64), "inverse": np.ones(1, np.uint64)}
 
 
@@ -85,8 +87,20 @@ def texts_of(column: pa.Array, lower: bool = False) -> Texts:
     return Texts(_LOWER[raw] if lower else raw, bounds - bounds[0])
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each piece holds about SLICE_BYTES of text, or a single longer text."""
+def kept_between_tasks(forget: Callable[[], None]) -> None:
+    """Register how to drop a cache that lives as long as the worker."""
+    _kept.append(forget)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each piece holds about SLICE_BYTES of text, or a single longer text.
+
+    A worker serves one operator after another; unless ``keep`` says that this one uses them,
+    caches of earlier ones are dropped first.
+    """
+    if not keep:
+        for forget in _kept:
+            forget()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(False)
         at = np.cumsum(sizes) // SLICE_BYTES

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.workspace import ship_package, stored
-from .buffers import mixed, slices, texts_of
+from .buffers import kept_between_tasks, mixed, slices, texts_of
 from .shared import small
 
 SAMPLES = 64
@@ -43,6 +43,9 @@ def _draws(samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rate, scale, generator.random(shape).astype(np.float32)
 
 
+kept_between_tasks(_draws.cache_clear)
+
+
 def signatures(column: pa.Array, samples: int = SAMPLES) -> np.ndarray:
     """One row of 32-bit samples per text; texts without words get zeros, and only they do."""
     texts = texts_of(column)
@@ -71,7 +74,8 @@ def signatures(column: pa.Array, samples: int = SAMPLES) -> np.ndarray:
             least = draw.argmin(axis=0)
             column_at = np.arange(samples)
             value = draw[least, column_at]
-            name = mixed(bucket[least].astype(np.uint64) << np.uint64(20) ^ step[least, column_at].astype(np.int64).astype(np.uint64))
+            level = step[least, column_at].astype(np.int64).astype(np.uint64)
+            name = mixed(bucket[least].astype(np.uint64) << np.uint64(20) ^ level)
             better = value < best
             best[better] = value[better]
             out[i, better] = (name[better] | np.uint64(1)).astype(np.uint32)
@@ -100,7 +104,7 @@ def fingerprint(
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", keep=True):
             prints = _hex(signatures(batch.column(1), samples))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], [id_column, "fingerprint"])
 
@@ -184,7 +188,7 @@ def compare_edits(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", keep=True):
             if held is not None:
                 yield from finished(held, batch.column(2)[0].as_py())
             held = batch

@@ -31,7 +31,10 @@ LEAST_RUN = 61
 # Ids per block, and ids after which a segment ends (with the document that passes them).
 BLOCK, SEGMENT_IDS = 4096, 1 << 18
 END_ID = 1
-SEGMENT_SCHEMA = "shard int, segment int, ids_before long, n_ids long, doc_ids array<{id}>, lengths array<long>, blocks array<long>, words binary"
+SEGMENT_SCHEMA = (
+    "shard int, segment int, ids_before long, n_ids long, doc_ids array<{id}>, lengths array<long>, "
+    "blocks array<long>, words binary"
+)
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
@@ -165,7 +168,7 @@ def write_ids(
             )
 
         held = 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", keep=True):
             own, counts = words.encode(texts_of(batch.column(1)))
             full = np.full(len(own) + len(counts), end_id, np.uint32)
             full[places(np.cumsum(counts + 1) - counts - 1, counts)] = own

@@ -140,8 +140,8 @@ def train(
         examples, marks = [], []
         for batch in batches:
             lists = batch.column(2)
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            examples += [values[a:b].copy() for a, b in zip(offsets, offsets[1:])]
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().copy()
+            examples += [values[a:b] for a, b in zip(offsets, offsets[1:])]
             marks.append(batch.column(1).to_numpy())
         if examples:
             used, weights, bias = calibrated(examples, np.concatenate(marks))

@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .buffers import Texts
+from .buffers import Texts, kept_between_tasks
 
 # Entries and ids of a pool, and pieces of words, before they are emptied; bounds a worker's memory to some 150 MB.
 POOL_ENTRIES, POOL_IDS, POOL_PIECES = 500_000, 8_000_000, 300_000
@@ -176,3 +176,6 @@ class WordEncoder:
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder for a vocabulary file; it lives as long as the worker."""
     return WordEncoder(path)
+
+
+kept_between_tasks(encoder.cache_clear)
