@@ -16,7 +16,8 @@ def components(links: DataFrame) -> DataFrame:
     rounds grows with the logarithm of the longest path. Each round is a written table, so a
     lost executor costs no earlier round. A node's links are only ever aggregated, not gathered.
     """
-    links = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    links = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = stored(links.distinct(), "links")
     before = None
     while True:
         # Large star: neighbours above a node move to the smallest of its neighbours and itself.

@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 
 from ..plans.query import Query, read_table
 from ..sources.workspace import fresh_path
-from . import bpe_coding, exact_dedup, fingerprints, html_extraction, mixing, ngram_join, secret_scan, substring_dedup, token_output, toxicity
+from . import (
+    bpe_coding,
+    exact_dedup,
+    fingerprints,
+    html_extraction,
+    mixing,
+    ngram_join,
+    secret_scan,
+    substring_dedup,
+    token_output,
+    toxicity,
+)
 
 VOCABULARY = "word_bpe_49k.json"
 

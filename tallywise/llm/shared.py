@@ -28,11 +28,6 @@ def lowered(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
-def same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    """Equality of the columns, null equal to null."""
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
-
-
 def joined(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on columns where null equals null; the right side's copies of them go."""
     renamed = right.select(*[F.col(c).alias(f"__{c}") if c in columns else F.col(c) for c in right.columns])
@@ -45,7 +40,9 @@ def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
-def with_group(rows: DataFrame, keys: Sequence[str], by: str, first: dict[str, Column], merge: dict[str, Column]) -> DataFrame:
+def with_group(
+    rows: DataFrame, keys: Sequence[str], by: str, first: dict[str, Column], merge: dict[str, Column]
+) -> DataFrame:
     """Add aggregates of the groups of ``keys`` to every row.
 
     A hot group is aggregated in PARTS parts, dealt by a hash of ``by``; then the parts are

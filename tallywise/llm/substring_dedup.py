@@ -65,7 +65,8 @@ def _copies(rows: DataFrame) -> DataFrame:
             count, sequence = _sequence_hash(texts_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(sequence)], ["id", "n", "sequence"])
 
-    hashed = stored(rows.mapInArrow(run, "id long, n long, sequence long").filter(f"n >= {WINDOW} AND id IS NOT NULL"), "sequences")
+    hashed = rows.mapInArrow(run, "id long, n long, sequence long").filter(f"n >= {WINDOW} AND id IS NOT NULL")
+    hashed = stored(hashed, "sequences")
     counted = with_group(hashed, ["n", "sequence"], "id", {"first": F.min("id")}, {"first": F.min("first")})
     return counted.filter("first < id").groupBy("id").agg(F.collect_set("sequence").alias("copies"))
 
@@ -125,7 +126,9 @@ def phrases(rows: DataFrame, copies: DataFrame) -> DataFrame:
     listed = marked.join(lists, "id").select("id", "text", "copies", "anchors")
     windows = stored(listed.mapInArrow(windowed, "window long, id long, word long"), "windows")
     first = windows.groupBy("window").agg(F.min(F.struct("id", "word")).alias("first"), F.max("id").alias("high"))
-    first = stored(first.filter("first.id < high").select("window", F.col("first.id").alias("from_id"), F.col("first.word").alias("from_word")), "first")
+    first = first.filter("first.id < high")
+    first = first.select("window", F.col("first.id").alias("from_id"), F.col("first.word").alias("from_word"))
+    first = stored(first, "first")
     hits = windows.join(first, "window").filter("from_id < id").select("id", "word", "from_id", "from_word")
     # Windows that follow one another in both documents are one phrase.
     order = Window.partitionBy("id").orderBy("word")
