@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,29 +20,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.workspace import ship_package, stored
-from .buffers import kept_between_tasks, mixed, slices, texts_of
+from .buffers import mixed, slices, texts_of
 from .shared import small
 
 SAMPLES = 64
-# Terms are hashed to so many buckets, whose draws are tabled; a worker's tables take 48 MB.
-BUCKETS = 1 << 16
+# Terms whose values are tabled at once (16 MB for 64 samples), and drawn at once; they bound memory
+# for very long texts, whose terms are looked at block by block.
+TABLED, DRAWN = 1 << 16, 1 << 10
 # Documents that follow one another by id are dealt to shards of about this many rows, but to no
 # more shards than MAX_SHARDS; a larger shard is only a longer stream for its task.
 SHARD_ROWS, MAX_SHARDS = 5_000, 8_192
 _DIGITS = 8
 
 
-@lru_cache(maxsize=1)
-def _draws(samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gamma(2, 1) rates, log gamma(2, 1) scales and uniform offsets, by bucket and sample."""
-    generator = np.random.default_rng(20_240_607)
-    shape = (BUCKETS, samples)
-    rate = generator.gamma(2.0, 1.0, shape).astype(np.float32)
-    scale = np.log(generator.gamma(2.0, 1.0, shape)).astype(np.float32)
-    return rate, scale, generator.random(shape).astype(np.float32)
+def _draws(terms: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gamma(2, 1) rates, log gamma(2, 1) scales and uniform offsets, by 64-bit term and sample.
+
+    A gamma(2, 1) variable is minus the logarithm of a product of two uniform ones, of 24 bits each.
+    """
+    first = mixed(terms ^ salts)
+    second = mixed(first + np.uint64(0xA24BAED4963EE407))
+
+    def halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (h >> np.uint64(32)).astype(np.uint32), h.astype(np.uint32)
+
+    def gamma(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        u = ((a >> np.uint32(8)).view(np.int32) + np.int32(1)).astype(np.float32)
+        v = ((b >> np.uint32(8)).view(np.int32) + np.int32(1)).astype(np.float32)
+        return np.maximum(-np.log(u * np.float32(2**-24) * (v * np.float32(2**-24))), np.float32(1e-9))
+
+    a, b = halves(first)
+    bits = (a & np.uint32(255)) << np.uint32(8) | (b & np.uint32(255))
+    offset = bits.view(np.int32).astype(np.float32) * np.float32(2**-16)
+    return gamma(a, b), np.log(gamma(*halves(second))), offset
 
 
-kept_between_tasks(_draws.cache_clear)
+def _levels(weight: np.ndarray, rate: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Quantised logarithms of weights; those of weight 1 are 0."""
+    return np.floor(np.log(weight).astype(np.float32) / rate + offset)
+
+
+def _values(terms: np.ndarray, weight: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """What the samples minimise, by term and sample."""
+    out = np.empty((len(terms), len(salts)), np.float32)
+    for at in range(0, len(terms), DRAWN):
+        part, some = out[at : at + DRAWN], weight[at : at + DRAWN]
+        rate, scale, offset = _draws(terms[at : at + DRAWN, None], salts)
+        part[:] = scale - rate * (1 - offset)
+        heavy = np.flatnonzero(some > 1)
+        part[heavy] -= rate[heavy] * _levels(some[heavy, None], rate[heavy], offset[heavy])
+    return out
 
 
 def signatures(column: pa.Array, samples: int = SAMPLES) -> np.ndarray:
@@ -53,32 +79,45 @@ def signatures(column: pa.Array, samples: int = SAMPLES) -> np.ndarray:
     words = texts.spans_hash(starts, ends)
     together = owner[1:] == owner[:-1]
     count = len(texts.offsets) - 1
+    out = np.zeros((count, samples), np.uint32)
+    if not len(words):
+        return out
     alone = np.flatnonzero(np.bincount(owner, minlength=count) == 1)
     pairs = mixed(mixed(words[:-1]) + words[1:])[together]
     terms = np.concatenate([pairs, words[np.searchsorted(owner, alone)]])
-    owners = np.concatenate([owner[1:][together], alone])
-    both = owners.astype(np.int64) * BUCKETS + (terms & np.uint64(BUCKETS - 1)).astype(np.int64)
-    both, weight = np.unique(both, return_counts=True)
-    out = np.zeros((count, samples), np.uint32)
-    rates, scales, offsets = _draws(samples)
-    bounds = np.searchsorted(both, np.arange(count + 1) * BUCKETS)
-    heavy = np.log(weight).astype(np.float32)
-    for i in np.flatnonzero(np.diff(bounds)):
-        a, b = bounds[i], bounds[i + 1]
-        best = np.full(samples, np.inf, np.float32)
-        for at in range(a, b, 4096):  # bounds memory for very long texts
-            bucket = both[at : min(at + 4096, b)] % BUCKETS
-            rate = rates[bucket]
-            step = np.floor(heavy[at : at + len(bucket), None] / rate + offsets[bucket])
-            draw = scales[bucket] - rate * (step - offsets[bucket] + 1)
-            least = draw.argmin(axis=0)
-            column_at = np.arange(samples)
-            value = draw[least, column_at]
-            level = step[least, column_at].astype(np.int64).astype(np.uint64)
-            name = mixed(bucket[least].astype(np.uint64) << np.uint64(20) ^ level)
-            better = value < best
-            best[better] = value[better]
-            out[i, better] = (name[better] | np.uint64(1)).astype(np.uint32)
+    owners = np.concatenate([owner[1:][together], alone]).astype(np.int64)
+    terms, number = np.unique(terms, return_inverse=True)
+    both, weight = np.unique(owners * len(terms) + number, return_counts=True)
+    owners, number = np.divmod(both, len(terms))
+    # Texts that have a term equally often share its values; these rows ascend by term.
+    most = int(weight.max()) + 1
+    rows, row = np.unique(number * most + weight, return_inverse=True)
+    row_term, row_weight = terms[rows // most], rows % most
+    salts = mixed(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    best = np.full((count, samples), np.inf, np.float32)
+    chosen = np.zeros((count, samples), np.int64)
+    place = row // TABLED * count + owners
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    cuts = np.flatnonzero(np.diff(place, prepend=-1, append=-1))
+    tabled = -1
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        at, i = divmod(int(place[a]), count)
+        if at != tabled:
+            tabled, low = at, at * TABLED
+            table = _values(row_term[low : low + TABLED], row_weight[low : low + TABLED], salts)
+        value = table[row[a:b] - low]
+        least = value.argmin(axis=0)
+        value = value[least, np.arange(samples)]
+        better = value < best[i]
+        best[i, better] = value[better]
+        chosen[i, better] = row[a + least[better]]
+    some = np.unique(owners)
+    term, heavy = row_term[chosen[some]], row_weight[chosen[some]]
+    rate, _, offset = _draws(term, salts)
+    level = _levels(heavy, rate, offset).astype(np.int64).astype(np.uint64)
+    name = mixed(mixed(term) + level)
+    out[some] = (name | np.uint64(1)).astype(np.uint32)
     return out
 
 
@@ -104,7 +143,7 @@ def fingerprint(
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", keep=True):
+        for batch in slices(batches, "text"):
             prints = _hex(signatures(batch.column(1), samples))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], [id_column, "fingerprint"])
 
@@ -169,8 +208,9 @@ def compare_edits(
         texts = batch.column(2).to_pylist()
         following = [*texts[1:], after or ""]
         edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for t, f in zip(texts, following)]
-        own = signatures(pa.array([*texts, following[-1]], pa.large_string()), samples)
-        changed = signatures(pa.array(edited, pa.large_string()), samples)
+        # Together, as an edit shares nearly all of its terms with these texts.
+        every = signatures(pa.array([*texts, following[-1], *edited], pa.large_string()), samples)
+        own, changed = every[: len(texts) + 1], every[len(texts) + 1 :]
         near_edited = (own[:-1] == changed).mean(axis=1)
         near_next = (own[:-1] == own[1:]).mean(axis=1)
         return pa.RecordBatch.from_arrays(
@@ -188,7 +228,7 @@ def compare_edits(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in slices(batches, "text", keep=True):
+        for batch in slices(batches, "text"):
             if held is not None:
                 yield from finished(held, batch.column(2)[0].as_py())
             held = batch

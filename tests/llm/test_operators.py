@@ -316,6 +316,16 @@ def test_likeness_is_weighted_jaccard():
     assert np.mean(errors) < 0.03
 
 
+def test_likeness_of_very_long_texts():
+    import pyarrow as pa
+
+    a, b = ([f"{name}{i}" for i in range(120_000)] for name in "ab")
+    half = [*a[:60_000], *b[:60_000]]
+    x, y, z = fingerprints.signatures(pa.array([" ".join(t) for t in (a, b, half)]), 256)
+    assert (x == y).mean() < 0.02
+    assert (x == z).mean() == pytest.approx(1 / 3, abs=0.1)
+
+
 # 10: pages
 
 
