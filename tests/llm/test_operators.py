@@ -357,6 +357,13 @@ def test_layouts(body, text):
     assert html_extraction.extract(whole, html_extraction.induce([whole])) == text
 
 
+def test_siblings_of_paragraphs_stay():
+    text = "long text of the page " * 20
+    whole = page(f"<div id=content><h1>Title</h1><p>{text}</p><p>{text}</p><ul><li>one<li>two</ul><p>end</p></div>")
+    got = html_extraction.extract(whole, html_extraction.induce([whole]))
+    assert got == f"Title {text}{text}one two end"
+
+
 def test_constant_nodes_are_template():
     pages = [page(f"<div class='x'>Same every time</div><div class='y'><p>{t}</p></div>") for t in ("one one", "two two", "three")]
     wrapper = html_extraction.induce(pages)
