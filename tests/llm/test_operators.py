@@ -357,6 +357,25 @@ def test_layouts(body, text):
     assert html_extraction.extract(whole, html_extraction.induce([whole])) == text
 
 
+def test_template_is_what_a_whole_host_has(spark):
+    def body(i):
+        site, label = "Odd" if i == 7 else "Site", f"Label {i // 20}"
+        return page(f"<div class=x>{site}</div><div class=y><span>{label}</span><p>text {i}</p></div>")
+
+    def with_article(i):
+        return page(f"<article><figcaption>Same</figcaption><p>text {i}</p></article>")
+
+    rows = [(i, "http://h.example/", body(i)) for i in range(40)] + [(i, "http://g.example/", with_article(i)) for i in range(40, 45)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extraction.extract_pages(df).collect()}
+    want = {i: f"Label {i // 20} text {i}" if i < 40 else f"Same text {i}" for i in range(45)}
+    want[7] = f"Odd {want[7]}"
+    assert got == want
+    varied = [page(f"<div class=x>{'Other' if i == 30 else 'Same'}</div><p>text {i}</p>") for i in range(31)]
+    assert html_extraction.extract(varied[0], html_extraction.induce(varied)) == "text 0"
+    assert html_extraction.extract(varied[30], html_extraction.induce(varied)) == "Other text 30"
+
+
 def test_siblings_of_paragraphs_stay():
     text = "long text of the page " * 20
     whole = page(f"<div id=content><h1>Title</h1><p>{text}</p><p>{text}</p><ul><li>one<li>two</ul><p>end</p></div>")
