@@ -357,6 +357,13 @@ def test_layouts(body, text):
     assert html_extraction.extract(whole, html_extraction.induce([whole])) == text
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "content no-comments", "page-with-menu", "sidebar-layout", "search"])
+@pytest.mark.parametrize("element", ["article", "section"])
+def test_layouts_named_after_a_part_are_kept(name, element):
+    whole = page(f"<div id='{name}'><div class='{name}'><{element}><p>the text of the page</p></{element}><div class='menu-x'>menu</div></div></div>")
+    assert html_extraction.extract(whole, html_extraction.induce([whole])) == "the text of the page"
+
+
 def test_template_is_what_a_whole_host_has(spark):
     def body(i):
         site, label = "Odd" if i == 7 else "Site", f"Label {i // 20}"
