@@ -21,7 +21,7 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows that share their text with others: row key, keep_id and group_size.
+    """The rows that share their text with others: row key, keep_id, group_size, and how many rows have the key.
 
     Each step looks closer at what the step before left over: rows whose length others have,
     rows that also share a hash of the opening, and only of these the hash of the whole text.
@@ -42,7 +42,8 @@ def copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         {"keep_id": F.max("__id"), "group_size": F.count(F.lit(1))},
         {"keep_id": F.max("keep_id"), "group_size": F.sum("group_size")},
     )
-    return counted.filter("group_size > 1").select(*_ROW, "keep_id", "group_size").dropDuplicates(_ROW)
+    one = {"keep_id": F.first("keep_id"), "group_size": F.first("group_size"), "times": F.count(F.lit(1))}
+    return counted.filter("group_size > 1").groupBy(*_ROW).agg(*[c.alias(n) for n, c in one.items()])
 
 
 def deduplicate(
@@ -70,8 +71,12 @@ def deduplicate(
 
 
 def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``deduplicate`` keeps, with their columns unchanged."""
-    found = copies(docs, id_column, text_column)
+    """The rows of ``docs`` that ``deduplicate`` keeps, with their columns unchanged; of rows of one id and text, one."""
+    found = stored(copies(docs, id_column, text_column), "copies")
     dropped = stored(found.filter(~F.col("keep_id").eqNullSafe(F.col("__id"))).select(*_ROW), "dropped")
     kept = joined(_keyed(docs, id_column, text_column), small(dropped), _ROW, "left_anti")
+    repeated = found.filter("times > 1").select(*_ROW)
+    if not repeated.isEmpty():
+        once = joined(kept, small(repeated), _ROW, "left_anti")
+        kept = once.unionByName(joined(kept, small(repeated), _ROW, "left_semi").dropDuplicates(_ROW))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -96,6 +96,12 @@ def test_without_copies_keeps_columns(odd):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 6, 7, 8, 10, 11]
 
 
+def test_without_copies_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "same"), (1, "same"), (2, "other"), (3, "SAME"), (3, "SAME"), (4, "x"), (4, "x"), (4, "y")]
+    kept = exact_dedup.without_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert table(kept, "doc_id", "text") == expected([(2, "other"), (3, "SAME"), (4, "x"), (4, "y")])
+
+
 # 3: token files
 
 
