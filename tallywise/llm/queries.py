@@ -10,6 +10,7 @@ from ..sources.workspace import fresh_path
 from . import (
     bpe_coding,
     exact_dedup,
+    filter_audit,
     fingerprints,
     html_extraction,
     mixing,
@@ -76,6 +77,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = f"""
@@ -124,6 +129,53 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+OP13_SQL = r"""
+WITH f AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+m AS (
+  SELECT doc_id, part,
+         (CASE WHEN len(w) < 100 THEN 1 ELSE 0 END)
+         + (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END)
+         + (CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 4 ELSE 0 END)
+         + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+         + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS mask
+  FROM f
+),
+marks AS (SELECT doc_id, max(quality) AS good, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+counts AS (
+  SELECT m.part, m.mask, count(*) AS n,
+         count(*) FILTER (WHERE marks.good = 1) AS good, count(*) FILTER (WHERE marks.toxic = 1) AS toxic
+  FROM m LEFT JOIN marks ON m.doc_id = marks.doc_id GROUP BY m.part, m.mask
+),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(l, b)),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+),
+steps AS (
+  SELECT filter_order, CAST(s AS INTEGER) AS step, substr(filter_order, s, 1) AS filter, bits[s] AS bit,
+         list_sum(bits[1:s]) - bits[s] AS earlier
+  FROM orders, range(1, 6) r(s)
+),
+parts AS (SELECT part, sum(n) AS total FROM counts GROUP BY part),
+done AS (
+  SELECT p.part, s.filter_order, s.step, s.filter,
+         CAST(p.total - coalesce(sum(c.n) FILTER (WHERE (c.mask & (s.earlier + s.bit)) <> 0), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(c.n) FILTER (WHERE (c.mask & s.bit) <> 0 AND (c.mask & s.earlier) = 0), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(c.n) FILTER (WHERE (c.mask & s.bit) <> 0 AND (c.mask & s.earlier) <> 0), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(c.n) FILTER (WHERE c.mask = s.bit), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(c.good) FILTER (WHERE (c.mask & s.bit) <> 0 AND (c.mask & s.earlier) = 0), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(c.toxic) FILTER (WHERE (c.mask & s.bit) <> 0 AND (c.mask & s.earlier) = 0), 0) AS BIGINT) AS toxic_lost
+  FROM parts p CROSS JOIN steps s LEFT JOIN counts c ON c.part = p.part
+  GROUP BY p.part, p.total, s.filter_order, s.step, s.filter
+)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM done
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": Query(op1_secret_scan, None),
     "op2_exact_dedup": Query(op2_exact_dedup, OP2_SQL),
@@ -135,4 +187,5 @@ QUERIES: dict[str, Query] = {
     "op8_bpe_coding": Query(op8_bpe_coding, None),
     "op9_fingerprints": Query(op9_fingerprints, None),
     "op10_html_extraction": Query(op10_html_extraction, None),
+    "op13_filter_audit": Query(op13_filter_audit, OP13_SQL),
 }
