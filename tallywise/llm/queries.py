@@ -13,6 +13,7 @@ from . import (
     filter_audit,
     fingerprints,
     html_extraction,
+    lexical_search,
     mixing,
     ngram_join,
     secret_scan,
@@ -77,6 +78,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -129,6 +134,38 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+OP11_SQL = rf"""
+WITH listed AS (
+  SELECT row_number() OVER () AS row, doc_id, terms, CAST(len(terms) AS BIGINT) AS n
+  FROM (SELECT doc_id, {_TERMS} AS terms FROM documents) WHERE len(terms) > 0
+),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM listed),
+asked AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+postings AS (
+  SELECT row, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT row, doc_id, n, unnest(terms) AS term FROM listed)
+  WHERE term IN (SELECT term FROM asked) GROUP BY row, doc_id, n, term
+),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0 * big_n + 2) / (2.0 * count(*) + 1))) AS BIGINT) AS w
+  FROM postings, totals GROUP BY term, big_n
+),
+scored AS (
+  SELECT a.item_id, p.row, p.doc_id,
+         CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * p.n * t.big_n) // t.big_l)))) AS BIGINT) AS score
+  FROM asked a JOIN postings p ON a.term = p.term JOIN weights w ON w.term = p.term, totals t
+  GROUP BY a.item_id, p.row, p.doc_id
+),
+ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
 OP13_SQL = r"""
 WITH f AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
@@ -187,5 +224,6 @@ QUERIES: dict[str, Query] = {
     "op8_bpe_coding": Query(op8_bpe_coding, None),
     "op9_fingerprints": Query(op9_fingerprints, None),
     "op10_html_extraction": Query(op10_html_extraction, None),
+    "op11_lexical_search": Query(op11_lexical_search, OP11_SQL),
     "op13_filter_audit": Query(op13_filter_audit, OP13_SQL),
 }
