@@ -17,6 +17,7 @@ from . import (
     mixing,
     ngram_join,
     secret_scan,
+    simhash,
     substring_dedup,
     token_output,
     toxicity,
@@ -82,6 +83,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -225,5 +230,6 @@ QUERIES: dict[str, Query] = {
     "op9_fingerprints": Query(op9_fingerprints, None),
     "op10_html_extraction": Query(op10_html_extraction, None),
     "op11_lexical_search": Query(op11_lexical_search, OP11_SQL),
+    "op12_simhash_dedup": Query(op12_simhash_dedup, None),
     "op13_filter_audit": Query(op13_filter_audit, OP13_SQL),
 }
