@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.checks import data_type, require_columns, require_direction, require_limit
 from ..functions.missing import col, present
@@ -13,6 +14,7 @@ from ..functions.predicates import Predicate
 from ..sources.position import has_row_index, leading_files, position_of
 from .parts import first_part, has_order_chain, hashable, order_chain, tie_keys
 from .selection import positions
+from .text_order import by_hash, text_top
 
 # Largest limit for which every task may hand that many rows to a single one.
 GATHERED_ROWS = 10_000
@@ -102,11 +104,23 @@ def top_k(df: DataFrame, column: str, direction: str, n: int | str, tiebreak: Se
     """The first n rows after sorting; pass a unique ``tiebreak`` for a repeatable result.
 
     Missing values come last, in the column and in the tie-breaks, whatever n is. Beyond
-    GATHERED_ROWS the n-th row is located exactly and the result is a filter, for numbers,
-    decimals, dates, times, booleans and texts; other types are gathered.
+    GATHERED_ROWS the n-th row is located exactly and the result is a filter: a text column by
+    radix narrowing on its bytes (``text_order``), whatever its length, with ties settled by the
+    tie-breaks in turn and then by a hash of the row; numbers, decimals, dates, times and
+    booleans by numeric keys. Other types are gathered.
     """
     n = require_limit(n)
     keys = _sort_keys(df, column, direction, tiebreak)
+    if n > GATHERED_ROWS and isinstance(data_type(df, column), T.StringType):
+        first = text_top(
+            df,
+            column,
+            require_direction(direction),
+            n,
+            lambda rows, m: _first_tied(rows, m, tiebreak),
+            lambda rows, m: rows.orderBy(*keys).limit(m),
+        )
+        return order_by(first, column, direction, tiebreak)
     if n > GATHERED_ROWS and all(has_order_chain(data_type(df, c)) for c in [column, *tiebreak]):
         chain = order_chain(df, column, require_direction(direction))
         chain += [key for t in tiebreak for key in order_chain(df, t, True)]
@@ -116,6 +130,15 @@ def top_k(df: DataFrame, column: str, direction: str, n: int | str, tiebreak: Se
     return df.orderBy(*keys).limit(n)
 
 
+def _first_tied(rows: DataFrame, m: int, tiebreak: Sequence[str]) -> DataFrame:
+    """The first m of rows that are equal in the sort column: by the tie-breaks, then any copies."""
+    if m <= 0:
+        return rows.limit(0)
+    if not tiebreak:
+        return by_hash(rows, m)
+    return top_k(rows, tiebreak[0], "ASC", m, tiebreak[1:])
+
+
 def show(
     df: DataFrame,
     columns: Sequence[str] | None = None,

@@ -149,6 +149,11 @@ QUERIES: dict[str, Query] = {
         _large_top("line", "DESC", [], "line"),
         f"SELECT line FROM ({_LARGE_SQL}) ORDER BY line DESC LIMIT 11000",
     ),
+    "top_k_documents_text": on(
+        "documents",
+        lambda df: top_k(df, "text", "DESC", 11_000, ["doc_id"]).select("doc_id", F.length("text").alias("n_chars")),
+        "SELECT doc_id, length(text) AS n_chars FROM documents ORDER BY text DESC NULLS LAST, doc_id LIMIT 11000",
+    ),
     "where_eq_long": on(
         "orders",
         lambda df: where(df.selectExpr("9007199254740990 + o_orderkey AS big"), eq("big", 9007199254740993)),
