@@ -18,11 +18,13 @@ Method: multi-query common-subexpression evaluation.
 3. The query-sharing DAG term -> class -> query combines partials: a query's score is the sum of
    its classes' partials times the term count on the edge.
 
-Postings come from one pass over the documents, stored in the shared folder: only terms of some
-query are kept (a join, broadcast when the query vocabulary is counted small), and one marker row
-per document carries its n, so that N and L are sums over the stored rows, not another pass. The top k
-per query is a window limited per query, which Spark first applies within each task, so a query
-that matches every document sends k rows per task to its final ranking.
+Postings come from one pass over the documents (Arrow batches): each text is split into terms
+once, and only its query terms are kept, as ids with counts, one stored row per document, with no
+shuffle. N, L and df are sums over the stored rows. Partials and their combination per query run
+inside each task over batches of documents (numpy), and each task keeps only its k best rows per
+query, so a query that matches every document sends k rows per task to its final ranking. The
+query vocabulary and the edges are broadcast once counted below BROADCAST_TERMS; beyond that the
+same result comes from joins and aggregations (``_search_by_joins``).
 
 Edge cases: a null text has no terms and does not count in N; queries without terms, and terms
 that no document holds, add nothing; a score of 0 is never returned. Rows repeating a
@@ -35,6 +37,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.workspace import stored
 from .shared import lowered, small, text_of
@@ -78,7 +81,7 @@ def term_classes(items: DataFrame, item_column: str = "item_id", text_column: st
     return terms, edges
 
 
-def search(
+def _search_by_joins(
     docs: DataFrame,
     items: DataFrame,
     k: int = TOP,
@@ -87,7 +90,7 @@ def search(
     item_column: str = "item_id",
     item_text: str = "text",
 ) -> DataFrame:
-    """For every query, its ``k`` best documents: item_id, rank (1..), doc_id, score (long)."""
+    """The same result by joins and aggregations only: for query vocabularies beyond the broadcast bound."""
     terms, edges = term_classes(items, item_column, item_text)
     terms = small(terms)
     listed = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), terms_of(text_column).alias("terms"))
@@ -138,4 +141,204 @@ def search(
     return ranked.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", F.col("score").cast("long"))
 
 
+def _tokenize(vocabulary):
+    """Arrow batches of (row, id, text) to per-document postings of query terms: ids and counts."""
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    pattern = re.compile(TERM)
+    a_to_z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def run(batches):
+        known = vocabulary.value
+        for batch in batches:
+            sizes, tids, tfs = [], [], []
+            for text in batch.column("text").to_pylist():
+                found = pattern.findall((text or "").translate(a_to_z))
+                sizes.append(len(found))
+                ids = np.fromiter((known.get(t, -1) for t in found), dtype=np.int32, count=len(found))
+                ids, counts = np.unique(ids[ids >= 0], return_counts=True)
+                tids.append(ids)
+                tfs.append(counts.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("row"),
+                    batch.column("id_value"),
+                    batch.column("id_null"),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(tids, pa.list_(pa.int32())),
+                    pa.array(tfs, pa.list_(pa.int32())),
+                ],
+                ["row", "id_value", "id_null", "n", "tids", "tfs"],
+            )
+
+    return run
+
+
+# Entries of (document, class) partials expanded to (document, query) at once in a task, at most.
+EXPANDED = 4_000_000
+
+
+def _score(tables, k: int, big_n: int, big_l: int):
+    """Arrow batches of postings to each task's k best rows per query, by the query-sharing DAG."""
+    import numpy as np
+    import pyarrow as pa
+
+    def top(item, score, null, value, row):
+        order = np.lexsort((row, value, null, -score, item))
+        item, score, null, value, row = item[order], score[order], null[order], value[order], row[order]
+        first = np.r_[True, item[1:] != item[:-1]]
+        start = np.maximum.accumulate(np.where(first, np.arange(len(item)), 0))
+        keep = np.arange(len(item)) - start < k
+        return item[keep], score[keep], null[keep], value[keep], row[keep]
+
+    def combine(post, weight, cls, edge_start, edge_item, edge_qtf):
+        doc, tids, tfs, m = post
+        gain = weight[tids] * ((np.int64(1_000_000_000) * tfs) // (np.int64(1000) * tfs + np.int64(12) * m[doc]))
+        classes = cls[tids].astype(np.int64)
+        # Partial accumulators: one sum per (document, class), however many queries share the class.
+        key = doc * np.int64(len(edge_start) - 1) + classes
+        key, where = np.unique(key, return_inverse=True)
+        partial = np.zeros(len(key), dtype=np.int64)
+        np.add.at(partial, where, gain)
+        pdoc, pcls = key // (len(edge_start) - 1), key % (len(edge_start) - 1)
+        # Combine along the DAG: each partial goes to the queries of its class, times the term count.
+        fan = edge_start[pcls + 1] - edge_start[pcls]
+        at = np.repeat(edge_start[pcls], fan) + (np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan))
+        items = edge_item[at]
+        values = np.repeat(partial, fan) * edge_qtf[at]
+        key = np.repeat(pdoc, fan) * np.int64(edge_item.max() + 1 if len(edge_item) else 1) + items
+        key, where = np.unique(key, return_inverse=True)
+        score = np.zeros(len(key), dtype=np.int64)
+        np.add.at(score, where, values)
+        width = np.int64(edge_item.max() + 1 if len(edge_item) else 1)
+        return key // width, key % width, score
+
+    def run(batches):
+        weight, cls, edge_start, edge_item, edge_qtf = (np.asarray(a) for a in tables.value)
+        fan_of = np.diff(edge_start)
+        kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        for batch in batches:
+            rows = batch.column("row").to_numpy()
+            values = batch.column("id_value").to_numpy()
+            nulls = batch.column("id_null").to_numpy(zero_copy_only=False)
+            m = 75 + (np.int64(25) * batch.column("n").to_numpy() * np.int64(big_n)) // np.int64(big_l)
+            offsets = batch.column("tids").offsets.to_numpy()
+            tids = batch.column("tids").values.to_numpy()
+            tfs = batch.column("tfs").values.to_numpy().astype(np.int64)
+            lengths = np.diff(offsets)
+            doc = np.repeat(np.arange(len(rows), dtype=np.int64), lengths)
+            # Documents in chunks whose expansion to queries stays below EXPANDED entries.
+            load = np.zeros(len(rows), dtype=np.int64)
+            np.add.at(load, doc, fan_of[cls[tids]])
+            bounds, total, start = [0], 0, 0
+            for i, x in enumerate(load):
+                if total + x > EXPANDED and i > start:
+                    bounds.append(i)
+                    start, total = i, 0
+                total += x
+            bounds.append(len(rows))
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                if lo == hi:
+                    continue
+                a, b = offsets[lo], offsets[hi]
+                pdoc, item, score = combine((doc[a:b], tids[a:b], tfs[a:b], m), weight, cls, edge_start, edge_item, edge_qtf)
+                good = score > 0
+                pdoc, item, score = pdoc[good], item[good], score[good]
+                merged = [
+                    np.r_[kept[0], item],
+                    np.r_[kept[1], score],
+                    np.r_[kept[2], nulls[pdoc]],
+                    np.r_[kept[3], values[pdoc]],
+                    np.r_[kept[4], rows[pdoc]],
+                ]
+                kept = list(top(*merged))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(kept[0], pa.int64()), pa.array(kept[1], pa.int64()), pa.array(kept[2], pa.bool_()),
+             pa.array(kept[3], pa.int64()), pa.array(kept[4], pa.int64())],
+            ["item", "score", "id_null", "id_value", "row"],
+        )
+
+    return run
+
+
+# Query terms and (class, query) edges shipped to every executor, at most; beyond, joins do the work.
+BROADCAST_TERMS = 1_000_000
+
+
+def search(
+    docs: DataFrame,
+    items: DataFrame,
+    k: int = TOP,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    item_column: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
+    """For every query, its ``k`` best documents: item_id, rank (1..), doc_id, score (long).
+
+    Three passes: (1) each text is split into terms once, in Arrow batches, and only its query
+    terms are kept as ids with counts, one stored row per document (no shuffle); (2) df per term
+    and N, L are sums over the stored rows; (3) each task sums partials per (document, class) and
+    combines them per query along the DAG, keeping its ``k`` best per query; a window over those
+    gives the result. The query vocabulary and the edges are broadcast after a count shows they
+    are at most BROADCAST_TERMS; beyond, the same result comes from joins (``_search_by_joins``).
+    """
+    import numpy as np
+
+    spark = docs.sparkSession
+    terms, edges = term_classes(items, item_column, item_text)
+    terms, edges = stored(terms, "terms"), stored(edges, "edges")
+    if terms.count() > BROADCAST_TERMS or edges.count() > BROADCAST_TERMS:
+        return _search_by_joins(docs, items, k, id_column, text_column, item_column, item_text)
+    listed = sorted((r.term, r.c1, r.c2, r.c3, r.cterm) for r in terms.collect())
+    tid = {t[0]: i for i, t in enumerate(listed)}
+    class_of, cls = {}, np.zeros(len(listed), dtype=np.int32)
+    for i, t in enumerate(listed):
+        cls[i] = class_of.setdefault(t[1:], len(class_of))
+    edge_rows = edges.collect()
+    item_ids = sorted({r.item_id for r in edge_rows}, key=lambda x: (x is None, x))
+    item_index = {v: i for i, v in enumerate(item_ids)}
+    by_class = sorted((class_of[(r.c1, r.c2, r.c3, r.cterm)], item_index[r.item_id], r.qtf) for r in edge_rows)
+    edge_cls = np.array([e[0] for e in by_class], dtype=np.int64)
+    edge_start = np.searchsorted(edge_cls, np.arange(len(class_of) + 1)).astype(np.int64)
+    edge_item = np.array([e[1] for e in by_class], dtype=np.int64)
+    edge_qtf = np.array([e[2] for e in by_class], dtype=np.int64)
+
+    rows = docs.select(
+        F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(0)).alias("id_value"),
+        F.col(f"`{id_column}`").isNull().alias("id_null"),
+        F.col(f"`{text_column}`").cast("string").alias("text"),
+    ).withColumn("row", F.monotonically_increasing_id())
+    vocabulary = spark.sparkContext.broadcast(tid)
+    postings = rows.mapInArrow(
+        _tokenize(vocabulary), "row long, id_value long, id_null boolean, n long, tids array<int>, tfs array<int>"
+    )
+    postings = stored(postings.filter("n > 0"), "postings")
+    totals = postings.agg(F.count(F.lit(1)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
+    big_n, big_l = int(totals["N"]), int(totals["L"])
+    if big_l == 0 or not len(edge_item):
+        return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
+    df = postings.select(F.explode("tids").alias("tid")).groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
+    ratio = F.lit(2.0 * big_n + 2.0) / (F.lit(2.0) * F.col("df").cast("double") + F.lit(1.0))
+    weight = np.zeros(len(listed), dtype=np.int64)
+    for r in df.select("tid", F.floor(F.lit(1000.0) * F.log(ratio)).cast("long").alias("w")).collect():
+        weight[r.tid] = r.w
+    tables = spark.sparkContext.broadcast((weight, cls, edge_start, edge_item, edge_qtf))
+    found = postings.mapInArrow(
+        _score(tables, k, big_n, big_l), "item long, score long, id_null boolean, id_value long, row long"
+    )
+    names = spark.createDataFrame(
+        [(i, v) for i, v in enumerate(item_ids)],
+        T.StructType([T.StructField("item", T.LongType()), T.StructField("item_id", edges.schema["item_id"].dataType)]),
+    )
+    doc_id = F.when(F.col("id_null"), F.lit(None).cast("long")).otherwise(F.col("id_value"))
+    order = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("id_null"), F.col("id_value"), F.col("row"))
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = ranked.join(F.broadcast(names), "item")
+    return ranked.select("item_id", F.col("rank").cast("int").alias("rank"), doc_id.alias("doc_id"), "score")
+
+
 __all__ = ["TERM", "TOP", "search", "term_classes", "terms_of"]
