@@ -165,3 +165,34 @@ def test_long_decimals_are_not_ranked(spark):
         with pytest.raises(TypeError):
             call("d")
         call("short")
+
+
+def test_median_cells_split_again_until_small(spark, monkeypatch):
+    """Few first ranges make the middle cells hold thousands of rows; with a bound of 40 rows they
+    are split again twice or more, and the medians stay exact (ties, a hot value, an even count)."""
+    import random
+
+    from tallywise.operators import grouping
+
+    monkeypatch.setattr(grouping, "MEDIAN_RANGES", 2)
+    monkeypatch.setattr(grouping, "SPLITS", 2)
+    rng = random.Random(5)
+    rows = [("hot", float(rng.randint(0, 10**6))) for _ in range(30_000)]
+    rows += [("hot", 7.0)] * 4_000 + [("even", float(i % 997)) for i in range(20_000)] + [("one", 3.0)] * 50
+    df = spark.createDataFrame(rows, "k string, v double")
+    rounds = []
+    original = grouping.stored
+
+    def noted(table, name):
+        if name == "median_parts":
+            rounds.append(name)
+        return original(table, name)
+
+    monkeypatch.setattr(grouping, "stored", noted)
+    got = {r["k"]: r["m"] for r in grouping.spread_median(df, ["k"], "v", "m", len(rows), cell_rows=40).collect()}
+    want = {}
+    for key in {k for k, _ in rows}:
+        values = sorted(v for k, v in rows if k == key)
+        want[key] = (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
+    assert got == want
+    assert len(rounds) >= 2
