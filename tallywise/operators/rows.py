@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,9 +83,45 @@ def limit(df: DataFrame, n: int | str) -> DataFrame:
     head = leading_files(df, n)
     if n > GATHERED_ROWS and has_row_index(df):
         return _before_cut(head, n).orderBy(*position)
+    if n > GATHERED_ROWS:
+        return _before_block_cut(head, n)
     return head.orderBy(*position).limit(n)
 
 
+def _before_block_cut(head: DataFrame, n: int) -> DataFrame:
+    """The first n rows of text files (no row index) as a filter, in two passes, in file order.
+
+    Pass one counts rows per (file, block start) of the leading files; running sums over these
+    counts (one per block of the leading files, never per row) find the block that holds row n.
+    The blocks before it are kept by a filter on file and block; only the rows of that one block
+    are numbered, by a window partitioned by the block (one task reads a block, in file order).
+    The result is sorted by file, block and place in the block, a distributed sort.
+    """
+    path, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    names = [col(c) for c in head.columns]
+    counts = sorted(tuple(r) for r in head.groupBy(path.alias("p"), block.alias("b")).count().collect())
+    before = 0
+    for file, start, rows in counts:
+        if before + rows >= n:
+            break
+        before += rows
+    else:
+        file, start = None, None
+
+    def placed(rows: DataFrame) -> DataFrame:
+        at = rows.select(*names, path.alias("__path"), block.alias("__block"))
+        return at.withColumn("__order", F.monotonically_increasing_id())
+
+    if file is None:
+        kept = placed(head)
+    else:
+        earlier = (path < F.lit(file)) | ((path == F.lit(file)) & (block < F.lit(start)))
+        at = placed(head.filter((path == F.lit(file)) & (block == F.lit(start))))
+        numbered = at.withColumn("__row", F.row_number().over(Window.partitionBy("__block").orderBy("__order")))
+        kept = placed(head.filter(earlier)).unionByName(numbered.filter(F.col("__row") <= n - before).drop("__row"))
+    return kept.orderBy("__path", "__block", "__order").drop("__path", "__block", "__order")
+
+
 def _before_cut(head: DataFrame, n: int) -> DataFrame:
     """The first n rows as a filter: whole files, and one file up to a row index."""
     path, index = F.col("_metadata.file_path"), F.col("_metadata.row_index")
@@ -110,8 +146,17 @@ def top_k(df: DataFrame, column: str, direction: str, n: int | str, tiebreak: Se
     booleans by numeric keys. Other types are gathered.
     """
     n = require_limit(n)
+    if n > GATHERED_ROWS:
+        located = _located(df, column, direction, n, tiebreak)
+        if located is not None:
+            return located
+    return df.orderBy(*_sort_keys(df, column, direction, tiebreak)).limit(n)
+
+
+def _located(df: DataFrame, column: str, direction: str, n: int, tiebreak: Sequence[str]) -> DataFrame | None:
+    """The first n rows as a filter on the table, sorted; None for types without an exact route."""
     keys = _sort_keys(df, column, direction, tiebreak)
-    if n > GATHERED_ROWS and isinstance(data_type(df, column), T.StringType):
+    if isinstance(data_type(df, column), T.StringType):
         first = text_top(
             df,
             column,
@@ -121,13 +166,13 @@ def top_k(df: DataFrame, column: str, direction: str, n: int | str, tiebreak: Se
             lambda rows, m: rows.orderBy(*keys).limit(m),
         )
         return order_by(first, column, direction, tiebreak)
-    if n > GATHERED_ROWS and all(has_order_chain(data_type(df, c)) for c in [column, *tiebreak]):
+    if all(has_order_chain(data_type(df, c)) for c in [column, *tiebreak]):
         chain = order_chain(df, column, require_direction(direction))
         chain += [key for t in tiebreak for key in order_chain(df, t, True)]
         keyed = df.select("*", *[key.alias(f"{_KEY}_{i}") for i, key in enumerate(chain)], *tie_keys(df, None, hashable(df)))
         first = first_part(keyed, keyed.columns[len(df.columns) :], n).select(*[col(c) for c in df.columns])
         return order_by(first, column, direction, tiebreak)
-    return df.orderBy(*keys).limit(n)
+    return None
 
 
 def _first_tied(rows: DataFrame, m: int, tiebreak: Sequence[str]) -> DataFrame:
@@ -136,7 +181,8 @@ def _first_tied(rows: DataFrame, m: int, tiebreak: Sequence[str]) -> DataFrame:
         return rows.limit(0)
     if not tiebreak:
         return by_hash(rows, m)
-    return top_k(rows, tiebreak[0], "ASC", m, tiebreak[1:])
+    located = _located(rows, tiebreak[0], "ASC", m, tiebreak[1:])
+    return rows.orderBy(*_sort_keys(rows, tiebreak[0], "ASC", tiebreak[1:])).limit(m) if located is None else located
 
 
 def show(

@@ -9,9 +9,9 @@ and the rank still wanted inside the rows that start with P. Each round
    here"), and walks them in order to the one that holds the wanted rank;
 3. keeps the rows of the earlier buckets as "before" and goes on inside that bucket.
 
-It stops once a bucket holds at most FEW_ROWS rows, which are then sorted (one bounded task),
-or once the rank falls among texts equal to P, which are tied: their order comes from the
+It stops once the rank falls among texts equal to P, which are tied: their order comes from the
 tie-break columns (the same procedure on the next column) and finally from a hash of the row.
+With FEW_ROWS above 0 it also stops at a bucket of at most that many rows, which one task sorts.
 The result is a filter on the table, ``before`` (one byte comparison with P) plus the chosen
 rows; no key is ever split into columns, so a text of any length costs one comparison.
 """
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import col
 
-# A bucket of at most this many rows is sorted by one task.
-FEW_ROWS = 10_000
+# A bucket of at most this many rows is sorted by one task; 0: narrow on, no task gathers rows.
+FEW_ROWS = 0
 # Bytes of the least and greatest text read per look at a bucket's common prefix.
 WINDOW = 65_536
 
@@ -61,7 +61,7 @@ def text_top(
     prefix, need, size = b"", n, have
     bucket = present
     while True:
-        if size <= FEW_ROWS:
+        if size <= FEW_ROWS and FEW_ROWS > 0:
             chosen, tied = sort_few(bucket, need), False
             break
         # 1. The common prefix of the bucket.

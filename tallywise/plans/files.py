@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.rows import order_by
+from ..operators.rows import limit, order_by
 from ..sources.csv import read_csv
 from ..sources.json import to_json_records, write_json
 from ..sources.position import with_position
@@ -81,7 +81,18 @@ def _csv_sorted(df: DataFrame) -> DataFrame:
     return order_by(through_csv(df.select("p_partkey", "p_name", "p_retailprice")), "p_retailprice", "DESC")
 
 
+def _csv_limit_large(df: DataFrame) -> DataFrame:
+    ordered = df.select("l_orderkey", "l_linenumber", "l_quantity").orderBy("l_orderkey", "l_linenumber")
+    return limit(through_csv(ordered), 20_000)
+
+
 QUERIES: dict[str, Query] = {
+    "csv_limit_large": on(
+        "lineitem",
+        _csv_limit_large,
+        """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity FROM lineitem
+           ORDER BY l_orderkey, l_linenumber LIMIT 20000""",
+    ),
     "csv_roundtrip": on(
         "part",
         through_csv,

@@ -152,7 +152,7 @@ QUERIES: dict[str, Query] = {
     "top_k_documents_text": on(
         "documents",
         lambda df: top_k(df, "text", "DESC", 11_000, ["doc_id"]).select("doc_id", F.length("text").alias("n_chars")),
-        "SELECT doc_id, length(text) AS n_chars FROM documents ORDER BY text DESC NULLS LAST, doc_id LIMIT 11000",
+        "SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars FROM documents ORDER BY text DESC NULLS LAST, doc_id LIMIT 11000",
     ),
     "where_eq_long": on(
         "orders",

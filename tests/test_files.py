@@ -157,3 +157,27 @@ def test_work_folder_must_be_shared(spark):
     assert fresh_path(session("spark://host:7077", "hdfs://x/work/"), "t").startswith("hdfs://x/work/")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         fresh_path(session("spark://host:7077", None), "t")
+
+
+def test_large_limit_on_csv_is_a_filter_in_file_order(spark, tmp_path):
+    """Beyond the gathered bound a limit on CSV counts rows per block and numbers one block only."""
+    import os
+
+    from tallywise.operators import rows as row_ops
+
+    path = str(tmp_path / "t")
+    spark.range(0, 30_000).selectExpr("id", "id % 7 AS k").coalesce(3).write.option("header", True).csv(path)
+    lines = []
+    for name in sorted(f for f in os.listdir(path) if f.endswith(".csv")):
+        with open(os.path.join(path, name)) as handle:
+            lines += [tuple(int(x) for x in line.strip().split(",")) for line in handle.readlines()[1:]]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = tw.read_csv(spark, path)
+        for n in [row_ops.GATHERED_ROWS + 1, 20_000, 29_999, 40_000]:
+            result = tw.limit(df, n)
+            plan = result._jdf.queryExecution().executedPlan().toString()
+            assert "SinglePartition" not in plan and "CollectLimit" not in plan and "TakeOrdered" not in plan
+            assert [tuple(r) for r in result.collect()] == lines[:n]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
