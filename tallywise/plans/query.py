@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +33,24 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Number the rows of a small result as they come, so that a comparison of row sets checks their order."""
-    placed = df.withColumn("__place", F.monotonically_increasing_id())
-    return placed.withColumn("rank", F.row_number().over(Window.orderBy("__place"))).drop("__place")
+    """Number the rows as they come (partition by partition), so that a comparison of row sets checks their order.
+
+    Two passes, no task gathers rows: rows are counted per partition, the running sums of these
+    counts (one per partition) are the partitions' first numbers, and each row adds its place
+    within its partition, which ``monotonically_increasing_id`` carries in its low 33 bits.
+    """
+    counts = sorted(tuple(r) for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    firsts, total = {}, 0
+    for part, rows in counts:
+        firsts[part] = total
+        total += rows
+    if not firsts:
+        return df.withColumn("rank", F.lit(None).cast("int"))
+    first = F.element_at(
+        F.array(*[F.lit(firsts.get(i, 0)).cast("long") for i in range(max(firsts) + 1)]), F.spark_partition_id() + 1
+    )
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return df.withColumn("rank", (first + place + 1).cast("int"))
 
 
 def rounded(df: DataFrame, agg: str = "") -> DataFrame:

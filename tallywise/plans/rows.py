@@ -111,18 +111,20 @@ QUERIES: dict[str, Query] = {
         lambda df: match_count(df, all_of(ge("l_quantity", 25), ne("l_returnflag", "N"))),
         "SELECT count(*) AS matches FROM lineitem WHERE l_quantity >= 25 AND l_returnflag <> 'N'",
     ),
-    # Suppliers and parts are small enough for their rows to be numbered as they come.
     "order_asc": on(
-        "supplier",
-        lambda df: numbered(order_by(df, "s_acctbal", "ASC", ["s_suppkey"]).select("s_suppkey", "s_acctbal")),
-        """SELECT s_suppkey, s_acctbal, CAST(row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS INTEGER) AS rank
-           FROM supplier""",
+        "orders",
+        lambda df: numbered(order_by(df, "o_totalprice", "ASC", ["o_orderkey"]).select("o_orderkey", "o_totalprice")),
+        """SELECT o_orderkey, o_totalprice, CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS INTEGER) AS rank
+           FROM orders""",
     ),
     "order_desc": on(
-        "part",
-        lambda df: numbered(order_by(df, "p_brand", "DESC", ["p_partkey"]).select("p_partkey", "p_brand")),
-        """SELECT p_partkey, p_brand, CAST(row_number() OVER (ORDER BY p_brand DESC, p_partkey) AS INTEGER) AS rank
-           FROM part""",
+        "orders",
+        lambda df: numbered(
+            order_by(df, "o_orderpriority", "DESC", ["o_orderkey"]).select("o_orderkey", "o_orderpriority")
+        ),
+        """SELECT o_orderkey, o_orderpriority,
+                  CAST(row_number() OVER (ORDER BY o_orderpriority DESC, o_orderkey) AS INTEGER) AS rank
+           FROM orders""",
     ),
     "limit_after_sort": on(
         "orders",
