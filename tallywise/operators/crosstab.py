@@ -10,6 +10,8 @@ from ..functions.checks import data_type, is_numeric, require_columns, require_d
 from ..functions.missing import col, is_present, number, present
 from ..functions.predicates import Predicate
 from .grouping import aggregate
+from ..sources.workspace import stored
+from . import rows as row_ops
 from .rows import sort_key
 from .rows import where as keep
 
@@ -60,7 +62,8 @@ def pivot(
     cell has no value; for MEAN and MEDIAN, rows and labels made of such cells only drop out.
 
     The result is ascending by ``row`` unless ``order_by`` names the value column, or with
-    ``column`` a label. ``sort=False`` leaves the rows unordered, which saves a shuffle.
+    ``column`` a label. ``sort=False`` leaves the rows unordered, which saves a shuffle. A limit
+    beyond GATHERED_ROWS stores the grouped result and locates its last row exactly (``top_k``).
     """
     require_columns(df, [row, value] + ([column] if column is not None else []))
     agg = check_aggregate(df, value, agg)
@@ -87,12 +90,20 @@ def pivot(
             raise ValueError(f"sort column {order_by!r} is not among the labels {names}")
     names = apart_from(row, names)
     cells = result.columns[1:]
-    if order_by is not None:
-        key = CELL if column is None else cells[names.index(order_by)]
+    key = None if order_by is None else CELL if column is None else cells[names.index(order_by)]
+    if count is not None and count > row_ops.GATHERED_ROWS:
+        # The grouped result is stored once; the count-th row is located in it and the rows before
+        # it are a filter, sorted by a distributed sort; no task gathers them.
+        grouped = stored(result, "pivot")
+        if key is None:
+            result = row_ops.top_k(grouped, ROW, "ASC", count)
+        else:
+            result = row_ops.top_k(grouped, key, direction, count, [ROW])
+    elif key is not None:
         result = result.orderBy(sort_key(F.col(key), ascending), F.col(ROW))
     elif sort or count is not None:
         result = result.orderBy(ROW)
-    if count is not None:
+    if count is not None and count <= row_ops.GATHERED_ROWS:
         result = result.limit(count)
     return result.select(F.col(ROW).alias(row), *[F.col(c).alias(n) for c, n in zip(cells, names)])
 

@@ -132,6 +132,13 @@ QUERIES: dict[str, Query] = {
                   FROM lineitem GROUP BY l_suppkey)
             ORDER BY "F" DESC, l_suppkey LIMIT 10""",
     ),
+    "pivot_large_limit": on(
+        "lineitem",
+        lambda df: numbered(pivot(df, "l_orderkey", "l_quantity", "SUM", order_by="l_quantity", direction="DESC", limit=12_000)),
+        """SELECT l_orderkey, sum(l_quantity) AS l_quantity,
+                  CAST(row_number() OVER (ORDER BY sum(l_quantity) DESC, l_orderkey) AS INTEGER) AS rank
+           FROM lineitem GROUP BY l_orderkey ORDER BY l_quantity DESC, l_orderkey LIMIT 12000""",
+    ),
     "pivot_where": on(
         "lineitem",
         lambda df: rounded(

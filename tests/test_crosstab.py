@@ -130,3 +130,20 @@ def test_a_label_may_have_the_row_columns_name(df):
     plain = tw.pivot(df, "k", "v", "SUM", "c")
     assert shown.columns == ["x", *[c + "'" if c == "x" else c for c in plain.columns[1:]]]
     assert shown.collect() == plain.collect()
+
+
+@pytest.mark.parametrize("order_by, direction", [(None, "ASC"), ("v", "DESC"), ("v", "ASC")])
+def test_large_pivot_limit_is_located_not_gathered(spark, order_by, direction):
+    df = spark.range(90_000).selectExpr("id % 30000 AS k", "CAST(id * 7919 % 101 AS BIGINT) AS v")
+    result = tw.pivot(df, "k", "v", "SUM", order_by=order_by, direction=direction, limit=20_000)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "CollectLimit" not in plan and "SinglePartition" not in plan
+    sums = {}
+    for i in range(90_000):
+        sums[i % 30000] = sums.get(i % 30000, 0) + i * 7919 % 101
+    if order_by is None:
+        want = sorted(sums.items())[:20_000]
+    else:
+        sign = -1 if direction == "DESC" else 1
+        want = sorted(sums.items(), key=lambda kv: (sign * kv[1], kv[0]))[:20_000]
+    assert [tuple(r) for r in result.collect()] == want
