@@ -3,8 +3,8 @@
 Radix narrowing on the text's UTF-8 bytes (Spark orders texts by their bytes): keep a prefix P
 and the rank still wanted inside the rows that start with P. Each round
 
-1. extends P by the common prefix of the bucket, read from its least and greatest text a window
-   of WINDOW bytes at a time (the common prefix of all texts is that of these two);
+1. extends P by the common prefix of the bucket, from the least and greatest of the bucket's next
+   WINDOW bytes (the common prefix of all texts is that of these two), window after window;
 2. counts the bucket's rows by the next byte after P (at most 257 counts: 256 bytes and "ends
    here"), and walks them in order to the one that holds the wanted rank;
 3. keeps the rows of the earlier buckets as "before" and goes on inside that bucket.
@@ -28,7 +28,7 @@ from ..functions.missing import col
 # A bucket of at most this many rows is sorted by one task; 0: narrow on, no task gathers rows.
 FEW_ROWS = 0
 # Bytes of the least and greatest text read per look at a bucket's common prefix.
-WINDOW = 65_536
+WINDOW = 4_096
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -67,20 +67,17 @@ def text_top(
         # 1. The common prefix of the bucket.
         equal = False
         while True:
-            start = len(prefix) + 1
-            low, high, low_len, high_len = bucket.agg(
-                F.substring(F.min(raw), start, WINDOW),
-                F.substring(F.max(raw), start, WINDOW),
-                F.octet_length(F.min(raw)),
-                F.octet_length(F.max(raw)),
-            ).first()
+            # Least and greatest of the next WINDOW bytes only (cutting texts keeps their order), so
+            # each task hands on two short windows, never whole texts.
+            window = F.substring(raw, len(prefix) + 1, WINDOW)
+            low, high, longest = bucket.agg(F.min(window), F.max(window), F.max(F.octet_length(raw))).first()
             low, high = bytes(low or b""), bytes(high or b"")
             common = _common(low, high)
             prefix += low[:common]
-            if low_len == high_len == len(prefix):
+            if longest == len(prefix):
                 equal = True
                 break
-            if common < WINDOW:
+            if common < WINDOW or len(low) < WINDOW:
                 break
         if equal:
             chosen, tied = ties(bucket, need), True
