@@ -24,6 +24,26 @@ def check_aggregate(df: DataFrame, value: str, agg: str) -> str:
     return name
 
 
+# Registers of the opt-in approximate COUNT_UNIQUE's HLL sketches, as a power of two: 2**12
+# registers, about 1.6 % relative standard error, some 3 KB per cell whatever its size.
+SKETCH_BITS = 12
+
+
+def sketch_of(value: Column) -> Column:
+    """A mergeable HLL sketch of the distinct values of a group (missing values ignored).
+
+    Values are sketched by their text; Spark merges the partial sketches of all tasks, so a hot
+    group costs one sketch per task, and sketches of groups can be merged again with
+    ``hll_union_agg`` (rows, labels, bins) without going back to the values.
+    """
+    return F.hll_sketch_agg(value.cast("string"), SKETCH_BITS)
+
+
+def approximate_unique(value: Column) -> Column:
+    """The estimated number of distinct values, from the group's sketch."""
+    return F.hll_sketch_estimate(sketch_of(value))
+
+
 def aggregate_column(value: Column, agg: str) -> Column:
     """The Spark aggregate for one (upper-case) aggregate name."""
     if agg == "SUM":

@@ -53,6 +53,7 @@ def pivot(
     direction: str = "ASC",
     limit: int | str | None = None,
     sort: bool = True,
+    approximate: bool = False,
 ) -> DataFrame:
     """Aggregate ``value`` per ``row``, or per ``row`` and ``column`` as a cross-tab.
 
@@ -64,6 +65,7 @@ def pivot(
     The result is ascending by ``row`` unless ``order_by`` names the value column, or with
     ``column`` a label. ``sort=False`` leaves the rows unordered, which saves a shuffle. A limit
     beyond GATHERED_ROWS stores the grouped result and locates its last row exactly (``top_k``).
+    ``approximate=True`` estimates COUNT_UNIQUE from mergeable HLL sketches per cell (opt-in).
     """
     require_columns(df, [row, value] + ([column] if column is not None else []))
     agg = check_aggregate(df, value, agg)
@@ -82,9 +84,10 @@ def pivot(
         value_column(df, value).alias(VALUE),
     )
     if column is None:
-        result, names = aggregate(rows, [ROW], VALUE, agg, CELL), [agg.lower() if value == row else value]
+        result = aggregate(rows, [ROW], VALUE, agg, CELL, approximate=approximate)
+        names = [agg.lower() if value == row else value]
     else:
-        result, names = spread(rows, ROW, agg)
+        result, names = spread(rows, ROW, agg, approximate=approximate)
         order_by = None if order_by is None else str(order_by)
         if order_by is not None and order_by not in names:
             raise ValueError(f"sort column {order_by!r} is not among the labels {names}")
@@ -120,7 +123,7 @@ def apart_from(key: str, labels: list[str]) -> list[str]:
 
 
 def spread(
-    rows: DataFrame, key: str, agg: str, row_count: int | None = None
+    rows: DataFrame, key: str, agg: str, row_count: int | None = None, approximate: bool = False
 ) -> tuple[DataFrame, list[str]]:
     """Cross-tab of (``key``, LABEL, VALUE) rows without missing keys or labels.
 
@@ -132,7 +135,7 @@ def spread(
     labels = collect_labels(rows)
     if not labels:
         return rows.select(key).limit(0), []
-    cells = aggregate(rows, [key, LABEL], VALUE, agg, CELL, row_count)
+    cells = aggregate(rows, [key, LABEL], VALUE, agg, CELL, row_count, approximate=approximate)
     names = [f"cell_{i}" for i in range(len(labels))]
     wide = cells.groupBy(key).pivot(LABEL, labels).agg(F.first(CELL)).toDF(key, *names)
     filled = [F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import UNDEFINED_WHEN_EMPTY, aggregate_column
+from ..functions.aggregates import UNDEFINED_WHEN_EMPTY, aggregate_column, approximate_unique
 from ..sources.workspace import stored
 from .selection import SPLITS, bucketed, one_value_buckets, sketch_splits
 
@@ -31,11 +31,15 @@ def aggregate(
     out: str,
     rows: int | None = None,
     group_rows: int = MEDIAN_GROUP_ROWS,
+    approximate: bool = False,
 ) -> DataFrame:
     """``keys`` plus the aggregate of ``value`` as ``out``; groups without a mean or median drop out.
 
-    ``rows``, when known, is an upper bound on the number of rows of ``df``.
+    ``rows``, when known, is an upper bound on the number of rows of ``df``. ``approximate``
+    estimates COUNT_UNIQUE from HLL sketches (``functions.aggregates.sketch_of``).
     """
+    if approximate and agg == "COUNT_UNIQUE":
+        return df.groupBy(*keys).agg(approximate_unique(F.col(value)).alias(out))
     if agg in UNDEFINED_WHEN_EMPTY:
         df = df.filter(F.col(value).isNotNull())
     if agg == "MEDIAN" and (rows is None or rows > group_rows):

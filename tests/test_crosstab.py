@@ -147,3 +147,24 @@ def test_large_pivot_limit_is_located_not_gathered(spark, order_by, direction):
         sign = -1 if direction == "DESC" else 1
         want = sorted(sums.items(), key=lambda kv: (sign * kv[1], kv[0]))[:20_000]
     assert [tuple(r) for r in result.collect()] == want
+
+
+def test_approximate_count_unique_is_close_and_sketches_merge(spark):
+    from pyspark.sql import functions as F
+
+    from tallywise.functions.aggregates import sketch_of
+
+    df = spark.range(200_000).selectExpr("id % 3 AS k", "id % 5 AS c", "id * 7 % 60013 AS v")
+    exact = {tuple(r[:1]): r[1:] for r in tw.pivot(df, "k", "v", "COUNT_UNIQUE", "c").collect()}
+    rough = {tuple(r[:1]): r[1:] for r in tw.pivot(df, "k", "v", "COUNT_UNIQUE", "c", approximate=True).collect()}
+    assert exact.keys() == rough.keys()
+    for key in exact:
+        for a, b in zip(exact[key], rough[key]):
+            assert abs(b - a) <= 0.05 * a
+    one = tw.pivot(df, "k", "v", "COUNT_UNIQUE", approximate=True).collect()
+    assert [r.k for r in one] == [0, 1, 2] and all(abs(r.v - 60013) <= 0.05 * 60013 for r in one)
+    # Sketches of parts merge into the sketch of the whole.
+    parts = df.groupBy("c").agg(sketch_of(F.col("v")).alias("s"))
+    merged = parts.agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("e")).first().e
+    whole = df.agg(F.hll_sketch_estimate(sketch_of(F.col("v"))).alias("e")).first().e
+    assert merged == whole
