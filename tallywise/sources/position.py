@@ -39,11 +39,24 @@ def _metadata_fields(df: DataFrame) -> list[str]:
         return []
 
 
+# Nodes of a plan that read, filter and project only.
+_PLAIN_NODES = frozenset({"Project", "Filter", "LogicalRelation", "SubqueryAlias", "View"})
+
+
 def _plain_read(df: DataFrame) -> bool:
-    """Whether the table is read, filtered and projected only; a sort or an aggregate makes an order of its own."""
-    plan = df._jdf.queryExecution().analyzed().toString()
-    nodes = re.findall(r"^[ :+-]*(?:'|!)?([A-Z][A-Za-z]*)", plan, re.M)
-    return all(node in ("Project", "Filter", "Relation", "SubqueryAlias", "View") for node in nodes)
+    """Whether the table is read, filtered and projected only; a sort or an aggregate makes an order of its own.
+
+    Walks the nodes of the analyzed plan; any node of another kind (also a scan of another
+    kind of source) means the file order is not the table's order.
+    """
+    pending = [df._jdf.queryExecution().analyzed()]
+    while pending:
+        node = pending.pop()
+        if node.nodeName() not in _PLAIN_NODES:
+            return False
+        children = node.children()
+        pending += [children.apply(i) for i in range(children.size())]
+    return True
 
 
 def with_position(df: DataFrame) -> DataFrame:
