@@ -1,6 +1,6 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host come from one template. A few of them are aligned as trees by simple tree
+Pages of one host come from one template. All of them are aligned as trees by simple tree
 matching, which gives the path of the slot that holds the article. Texts that stand at one path on
 nearly all pages of the host, counted over all of them, belong to the template. The wrapper is then
 applied to every page of the host; a template node drops only where its text is the template's.
@@ -24,8 +24,6 @@ from ..sources.workspace import ship_package, stored
 from .buffers import slices
 from .shared import PARTS, small
 
-# Pages per host that are aligned; one for each remainder of a hash of their content.
-SAMPLE_PAGES = 8
 # A text at one path belongs to the template if so many different pages of the host have it, and this share.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.9
 # Wrappers are a few kB; up to so many hosts they are broadcast, else pages meet them by host.
@@ -151,15 +149,12 @@ class _Stack:
 
 
 class Node:
-    """An element of a page tree: label, whether it stands apart, own text, children."""
+    """An element of a page tree: label, whether it stands apart, own text and its length, children."""
 
-    __slots__ = ("label", "apart", "texts", "children")
+    __slots__ = ("label", "apart", "texts", "chars", "children")
 
-    def __init__(self, label: str, apart: int = _IN):
-        self.label, self.apart, self.texts, self.children = label, apart, [], []
-
-    def length(self) -> int:
-        return sum(map(len, self.texts)) + sum(c.length() for c in self.children)
+    def __init__(self, label: str, apart: int = _IN, chars: int = 0):
+        self.label, self.apart, self.texts, self.chars, self.children = label, apart, [], chars, []
 
 
 def tree_of(page: str) -> Node:
@@ -170,6 +165,7 @@ def tree_of(page: str) -> Node:
         if kind == "text":
             if text := " ".join(value.split()):
                 nodes[-1].texts.append(text)
+                nodes[-1].chars += len(text)
             continue
         keep = stack.closing(value) if kind == "open" else stack.ending(value)
         del stack.tags[keep:], nodes[keep + 1 :]
@@ -187,13 +183,18 @@ def align(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: the most nodes that can be paired keeping order and ancestry, and the pairs."""
     if a.label != b.label:
         return 0, []
-    m, n = len(a.children), len(b.children)
+    # Children without a partner of their label take no part.
+    labels = {c.label for c in b.children}
+    left_children = [c for c in a.children if c.label in labels]
+    labels = {c.label for c in left_children}
+    right_children = [c for c in b.children if c.label in labels]
+    m, n = len(left_children), len(right_children)
     best = [[(0, None)] * (n + 1) for _ in range(m + 1)]
     for i in range(1, m + 1):
         for j in range(1, n + 1):
             up, left = best[i - 1][j], best[i][j - 1]
             choice = up if up[0] >= left[0] else left
-            score, pairs = align(a.children[i - 1], b.children[j - 1])
+            score, pairs = align(left_children[i - 1], right_children[j - 1])
             if score and best[i - 1][j - 1][0] + score > choice[0]:
                 choice = (best[i - 1][j - 1][0] + score, (best[i - 1][j - 1][1], pairs))
             best[i][j] = choice
@@ -210,7 +211,7 @@ def _merge(wrapper: Node, page: Node) -> None:
     pairs = align(wrapper, page)[1]
     partner = {id(b): a for a, b in pairs}
     for a, b in pairs:
-        a.texts += b.texts
+        a.chars += b.chars
         at = 0
         for child in b.children:
             if id(child) in partner:
@@ -220,6 +221,48 @@ def _merge(wrapper: Node, page: Node) -> None:
                 at += 1
 
 
+def _condensed(node: Node) -> Node:
+    """The node with lengths for texts, in which all siblings of one label are one node, wherever they stand.
+
+    What is told of a node is told of its path, so a tree need not grow with the blocks of an article.
+    """
+    whole = Node(node.label, node.apart, node.chars)
+    pending = [(whole, [node])]
+    while pending:
+        into, alike = pending.pop()
+        groups: dict[tuple[str, int], list[Node]] = {}
+        for one in alike:
+            for child in one.children:
+                groups.setdefault((child.label, child.apart), []).append(child)
+        for (label, apart), children in groups.items():
+            into.children.append(Node(label, apart, sum(c.chars for c in children)))
+            pending.append((into.children[-1], children))
+    return whole
+
+
+def _outline(tree: Node) -> tuple[str, list[int]]:
+    """A tree as text, one line of depth, apartness and label per node, and the nodes' own lengths."""
+    lines, lengths, pending = [], [], [(0, tree)]
+    while pending:
+        depth, node = pending.pop()
+        lines.append(f"{depth} {node.apart} {node.label}")
+        lengths.append(node.chars)
+        pending += [(depth + 1, child) for child in reversed(node.children)]
+    return "\n".join(lines), lengths
+
+
+def _tree_from(outline: str, lengths: list[int]) -> Node:
+    above: list[Node] = []
+    for line, chars in zip(outline.split("\n"), lengths):
+        depth, apart, label = line.split(" ", 2)
+        node = Node(label, int(apart), chars)
+        del above[int(depth) :]
+        if above:
+            above[-1].children.append(node)
+        above.append(node)
+    return above[0]
+
+
 def _digest(texts: list[str]) -> str:
     return hashlib.blake2b("\n".join(texts).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
@@ -260,8 +303,7 @@ def _layouts(tree: Node) -> set[str]:
             return 0, 0
         marks = not inside and node.label.partition(".")[0] in ("article", "main")
         below = [lengths(c, f"{path}/{c.label}", inside, notes) for c in node.children]
-        own = sum(map(len, node.texts))
-        every = own + sum(b for _, b in below)
+        every = node.chars + sum(b for _, b in below)
         articles = sum(a for a, _ in below)
         if node.apart == _BY_NAME:
             notes.append((path, articles, every))
@@ -273,24 +315,29 @@ def _layouts(tree: Node) -> set[str]:
 
 
 def induce(pages: list[str], template: dict[str, str] | None = None) -> dict:
-    """A wrapper of sample pages: the template (that of these pages if not given) and the path of the article's slot."""
+    """A wrapper of pages: the template (that of these pages if not given) and the path of the article's slot."""
     pages = list(dict.fromkeys(pages))
     if template is None:
         template = constants(pages)
-    trees = [tree_of(p) for p in pages]
-    if not trees:
-        return {"template": template, "slot": "", "layouts": []}
-    wrapper = trees[0]
+    trees = [_condensed(tree_of(p)) for p in pages]
     for tree in trees[1:]:
-        _merge(wrapper, tree)
+        _merge(trees[0], tree)
+    return _wrapper_of(trees[0] if trees else None, template)
+
+
+def _wrapper_of(wrapper: Node | None, template: dict[str, str]) -> dict:
+    """The wrapper that a host's merged tree tells."""
+    if wrapper is None:
+        return {"template": template, "slot": "", "layouts": []}
     slots, layouts = {}, _layouts(wrapper)
 
     def visit(node: Node, path: str, apart: bool, within: bool) -> int:
         """Length of text below that is not apart; notes candidates for the slot."""
         apart |= node.apart == _APART_ALWAYS or (node.apart == _BY_NAME and path not in layouts)
         tag = node.label.partition(".")[0]
-        own = 0 if apart else sum(map(len, node.texts))
-        below = sum(visit(c, f"{path}/{c.label}", apart, within or tag in _PROSE_ONLY) for c in node.children)
+        own, below = 0 if apart else node.chars, 0
+        for c in node.children:
+            below += visit(c, f"{path}/{c.label}", apart, within or tag in _PROSE_ONLY)
         if not apart:
             # Nodes of one path are one candidate; below prose there is none.
             held, prose = slots.get(path, (0, True))
@@ -385,25 +432,89 @@ def templates(pages: DataFrame, host_column: str = "host", html_column: str = "h
     return often.groupBy("host").agg(F.collect_list(F.struct("path", "digest")).alias("template"))
 
 
+def _page_trees(pages: DataFrame) -> DataFrame:
+    """Host, page, outline and lengths of every page (host, page, html) that is not empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "html"):
+            found = [_outline(_condensed(tree_of(html))) for html in batch.column(2).to_pylist()]
+            outlines, lengths = [o for o, _ in found], [n for _, n in found]
+            columns = [pa.array(outlines, pa.string()), pa.array(lengths, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *columns], ["host", "page", "outline", "lengths"]
+            )
+
+    return pages.filter("html <> ''").mapInArrow(run, "host string, page long, outline string, lengths array<long>")
+
+
+def _merged_trees(trees: DataFrame) -> DataFrame:
+    """One tree per host and part of its pages, aligned page by page in the order of their outlines.
+
+    Copies of a page count once. Pages of one outline are added up before they are aligned, and
+    a task holds one merged tree, whatever the number of pages.
+    """
+    dealt = trees.withColumn("part", F.pmod("page", F.lit(PARTS)).cast("int")).repartition("host", "part")
+    dealt = dealt.sortWithinPartitions("host", "part", "outline", "page").select("host", "part", "outline", "page", "lengths")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            outline, lengths = _outline(merged)
+            columns = [[at[0]], [at[1]], [outline], [lengths]]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "part", "outline", "lengths"]
+            )
+
+        def add() -> Node:
+            tree = _tree_from(alike, total)
+            if merged is None:
+                return tree
+            _merge(merged, tree)
+            return merged
+
+        at, merged, alike, total, last = None, None, None, [], None
+        for batch in batches:
+            for host, part, outline, page, lengths in zip(*(c.to_pylist() for c in batch.columns)):
+                if (host, part) == at and outline == alike:
+                    if page != last:
+                        total = [a + b for a, b in zip(total, lengths)]
+                else:
+                    if at is not None:
+                        merged = add()
+                    if (host, part) != at:
+                        if at is not None:
+                            yield done()
+                        at, merged = (host, part), None
+                    alike, total = outline, lengths
+                last = page
+        if at is not None:
+            merged = add()
+            yield done()
+
+    return dealt.mapInArrow(run, "host string, part int, outline string, lengths array<long>")
+
+
 def wrappers(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """One wrapper (JSON) per host: its template by ``templates``, its slot from at most SAMPLE_PAGES different pages."""
-    keyed = pages.select(host_of(url_column).alias("host"), F.xxhash64(html_column).alias("hash"), html_column)
-    template = stored(templates(keyed.select("host", html_column), "host", html_column), "templates")
-    slot = F.pmod("hash", F.lit(SAMPLE_PAGES)).alias("slot")
-    chosen = keyed.groupBy("host", slot).agg(F.min("hash").alias("hash")).select("host", "hash")
-    sample = keyed.join(small(stored(chosen, "chosen")), ["host", "hash"])
-    # Copies of a page have its hash; one of each is enough.
-    sample = sample.groupBy("host", "hash").agg(F.first(html_column).alias("html"))
-    sample = sample.join(template, "host", "left").select("host", "hash", "html", "template")
+    """One wrapper (JSON) per host with a page that is not empty: its template by ``templates``, its slot from all pages."""
+    keyed = pages.select(
+        host_of(url_column).alias("host"), F.xxhash64(html_column).alias("page"), F.col(html_column).alias("html")
+    )
+    template = stored(templates(keyed.select("host", "html"), "host", "html"), "templates")
+    # At most PARTS trees per host.
+    merged = stored(_merged_trees(_page_trees(keyed)), "trees")
+    merged = merged.join(template, "host", "left").select("host", "part", "outline", "lengths", "template")
 
     def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [row for batch in group for row in zip(*(c.to_pylist() for c in batch.columns))]
-        rows.sort(key=lambda row: row[:3])
-        template = {x["path"]: x["digest"] for x in rows[0][3] or []}
-        wrapper = induce([row[2] for row in rows if row[2]], template)
+        rows.sort(key=lambda row: row[1])
+        trees = [_tree_from(row[2], row[3]) for row in rows]
+        for tree in trees[1:]:
+            _merge(trees[0], tree)
+        template = {x["path"]: x["digest"] for x in rows[0][4] or []}
+        wrapper = _wrapper_of(trees[0], template)
         yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]]), pa.array([json.dumps(wrapper)])], ["host", "wrapper"])
 
-    return sample.groupBy("host").applyInArrow(run, "host string, wrapper string")
+    return merged.groupBy("host").applyInArrow(run, "host string, wrapper string")
 
 
 def host_of(url_column: str) -> Column:

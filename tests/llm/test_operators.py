@@ -1,5 +1,6 @@
 """Each operator against plain Python on the smallest tables, and on rows of every odd kind."""
 
+import json
 import math
 
 import numpy as np
@@ -408,6 +409,24 @@ def test_tree_matching_counts_pairs():
     assert html_extraction.align(a, b)[0] == 5
 
 
+def test_slot_is_learnt_from_all_pages_of_a_host(spark):
+    def body(i):
+        return page(f"<div class=left><p>text {i}</p></div><div class=right>{'<p>more</p>' if i == 150 else ''}</div>")
+
+    rows = [(i, "http://h.example/", body(i)) for i in range(300)]
+    df = spark.createDataFrame(rows + rows[:9], "page_id long, url string, html string").repartition(7)
+    got = {r.page_id: r.text for r in html_extraction.extract_pages(df).collect()}
+    assert got == {i: f"text {i} more" if i == 150 else f"text {i}" for i in range(300)}
+
+
+def test_a_host_merged_in_parts_is_one_wrapper(spark):
+    texts = [page(f"<div class=c{i % 5}><p>text {i}</p></div><div class=x><p>{i}</p></div>") for i in range(40)]
+    df = spark.createDataFrame([(i, "http://h.example/", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    found = [json.loads(r.wrapper) for r in html_extraction.wrappers(df).collect()]
+    want = html_extraction.induce(texts)
+    assert [(w["slot"], w["layouts"]) for w in found] == [(want["slot"], want["layouts"])]
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "no url", ""), (3, "http://h.example/a", "plain words"), (3, "http://h.example/a", "plain words"), (None, "http://h.example/b", "<<<>>><p>")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text long")
