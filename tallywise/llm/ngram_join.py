@@ -27,11 +27,13 @@ PERCENT = 75
 BANDS, ROWS = 10, 3
 # Members of a group that one task holds.
 BLOCK = 512
-# Documents whose tokens tell which tokens are common; common tokens are looked up last.
-SAMPLE_DOCS = 10_000
+# Groups, one document of each, whose tokens tell which tokens are common: so many, and this share at least.
+# Common tokens are looked up last.
+SAMPLE_DOCS, SAMPLE_SHARE = 10_000, 1 / 8
 COMMON_IN_SAMPLE, COMMON_TOKENS = 4, 1_000_000
-# A token of more groups than this is made common, too, and the matrix built anew.
-CROWDED = 32
+# While the matrix makes more pairs of groups than this per group, a token of more than CROWDED groups
+# is made common, too, and the matrix built anew.
+PAIRS, CROWDED = 64, 32
 
 
 def _needed(n: np.ndarray | int) -> np.ndarray | int:
@@ -153,8 +155,8 @@ def _similar(matrix, doc: int, tokens: np.ndarray) -> list[int]:
 
 
 def _common_tokens(rows: DataFrame, count: int) -> np.ndarray:
-    """Tokens that many documents of a bounded sample have; only the order of look-ups depends on it."""
-    share = min(1.0, SAMPLE_DOCS / max(count, 1))
+    """Tokens that many of ``count`` documents have, told by a sample; only the order of look-ups depends on it."""
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_DOCS / max(count, 1)))
     sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(10**12)) < int(share * 10**12))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,12 +262,18 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     labelled = one.select("id").join(small(groups).withColumnRenamed("node", "id"), "id", "left").join(small(around), "id", "left")
     labelled = labelled.select("id", F.coalesce("component", "around", "id").alias("group"), F.col("component").isNull().alias("alone"))
     labelled = stored(labelled, "labelled")
-    common = _common_tokens(unique, sketches.count())
+    # Tokens meet group by group, so a group counts once.
+    heads = stored(labelled.filter("id = group").select("id"), "heads")
+    n_groups = heads.count()
+    common = _common_tokens(unique.join(small(heads), "id", "left_semi"), n_groups)
     while True:
         texts = unique.join(small(labelled), "id").select("id", "text", "group")
         shared = stored(_shared_tokens(_prefix_tokens(texts, common)), "matrix")
-        crowded = shared.groupBy("token").count().filter(F.col("count") > CROWDED).orderBy(F.desc("count"), "token")
-        crowded = crowded.limit(COMMON_TOKENS).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)
+        held = shared.groupBy("token").count()
+        if (held.agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] or 0) <= PAIRS * n_groups:
+            break
+        crowded = held.filter(F.col("count") > CROWDED).orderBy(F.desc("count"), "token").limit(COMMON_TOKENS)
+        crowded = crowded.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)
         more = np.setdiff1d(crowded, common)[: max(0, COMMON_TOKENS - len(common))]
         if not len(more):
             break

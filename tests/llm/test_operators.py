@@ -242,6 +242,17 @@ def test_join_with_null_and_repeated_ids(spark):
     assert got == expected([(None, 2, None), (2, 2, 2), (2, 2, 2), (5, 2, 2), (None, 0, None)])
 
 
+def test_crowded_tokens_do_not_build_the_matrix_anew(spark, monkeypatch):
+    builds, build = [], ngram_join._prefix_tokens
+    monkeypatch.setattr(ngram_join, "_prefix_tokens", lambda *a: builds.append(1) or build(*a))
+    monkeypatch.setattr(ngram_join, "SAMPLE_DOCS", 1)
+    docs = [(i, f"a{i} b{i} c{i} d{i} " + " ".join(f"same{i % 4}{k}" for k in range(6))) for i in range(400)]
+    docs += [(1000 + i, f"{text} {'e ' * (i < 300)}") for i, text in docs[::50]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert table(ngram_join.join(df), "doc_id", "n_shingles", "component_id") == expected(plain.linked(docs))
+    assert len(builds) == 1
+
+
 # 7: repeated passages
 
 
