@@ -7,6 +7,7 @@ hashed with whole-array operations.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -92,15 +93,24 @@ def kept_between_tasks(forget: Callable[[], None]) -> None:
     _kept.append(forget)
 
 
+def _give_back() -> None:
+    """Return freed memory to the machine; a worker otherwise keeps what its largest task so far took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, keep: bool = False) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each piece holds about SLICE_BYTES of text, or a single longer text.
 
     A worker serves one operator after another; unless ``keep`` says that this one uses them,
-    caches of earlier ones are dropped first.
+    caches of earlier ones are dropped first. Memory that earlier tasks freed is returned.
     """
     if not keep:
         for forget in _kept:
             forget()
+    _give_back()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(False)
         at = np.cumsum(sizes) // SLICE_BYTES

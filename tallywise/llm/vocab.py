@@ -10,8 +10,8 @@ import numpy as np
 
 from .buffers import Texts, kept_between_tasks
 
-# Entries and ids of a pool, and pieces of words, before they are emptied; bounds a worker's memory to some 150 MB.
-POOL_ENTRIES, POOL_IDS, POOL_PIECES = 500_000, 8_000_000, 300_000
+# Entries and ids of a pool, and pieces of words, before they are emptied; bounds a worker's memory to some 100 MB.
+POOL_ENTRIES, POOL_IDS, POOL_PIECES = 300_000, 4_000_000, 50_000
 # Words of these characters need no Unicode normalisation, and lower-casing them has no context.
 _PLAIN_LINES = re.compile(r"[\n!-~À-ÖØ-öø-ÿ]*")
 # Fixed value: the vocabulary's rule for cutting lower-case text, for plain words; a line holds a word.
