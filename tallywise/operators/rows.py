@@ -12,8 +12,8 @@ from ..functions.checks import data_type, require_columns, require_direction, re
 from ..functions.missing import col, present
 from ..functions.predicates import Predicate
 from ..sources.position import has_row_index, leading_files, position_of
-from .parts import first_part, has_order_chain, hashable, order_chain, tie_keys
-from .selection import positions
+from .parts import first_part, has_order_chain, hashable, number_key, order_chain, tie_keys
+from .selection import positions, sql_number
 from .text_order import by_hash, text_top
 
 # Largest limit for which every task may hand that many rows to a single one.
@@ -167,6 +167,7 @@ def _located(df: DataFrame, column: str, direction: str, n: int, tiebreak: Seque
         )
         return order_by(first, column, direction, tiebreak)
     if all(has_order_chain(data_type(df, c)) for c in [column, *tiebreak]):
+        df = _up_to_rank(df, column, require_direction(direction), n)
         chain = order_chain(df, column, require_direction(direction))
         chain += [key for t in tiebreak for key in order_chain(df, t, True)]
         keyed = df.select("*", *[key.alias(f"{_KEY}_{i}") for i, key in enumerate(chain)], *tie_keys(df, None, hashable(df)))
@@ -175,6 +176,24 @@ def _located(df: DataFrame, column: str, direction: str, n: int, tiebreak: Seque
     return None
 
 
+def _up_to_rank(df: DataFrame, column: str, ascending: bool, n: int) -> DataFrame:
+    """The rows up to the n-th by the column as one number, with all that tie there; all rows if these are too few.
+
+    A double orders long decimals up to ties, so the first n rows are among these, and only
+    they need the keys of the whole order.
+    """
+    key = F.when(present(df, column).isNotNull(), number_key(df, column))
+    if not ascending:
+        whole = isinstance(df.select(key).schema.fields[0].dataType, T.LongType)
+        key = F.bitwise_not(key) if whole else -key
+    keyed = df.select(key.alias(_KEY)).filter(F.col(_KEY).isNotNull())
+    rows = keyed.count()
+    if rows <= n:
+        return df
+    cut = positions(keyed, [_KEY], rows, [], [n - 1])[n - 1]
+    return df.filter(key <= F.expr(sql_number(cut.keys[0])))
+
+
 def _first_tied(rows: DataFrame, m: int, tiebreak: Sequence[str]) -> DataFrame:
     """The first m of rows that are equal in the sort column: by the tie-breaks, then any copies."""
     if m <= 0:

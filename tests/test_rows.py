@@ -178,3 +178,21 @@ def test_sorted_rows_come_in_order(spark, sf_dir):
     shown = tw.show(orders, ["o_orderkey", "o_totalprice"], where=tw.lt("o_totalprice", 50000.5), order_by="o_totalprice")
     got = [r.o_totalprice for r in shown.collect()]
     assert got == sorted(got)
+
+
+def test_large_top_k_keys_only_the_rows_up_to_its_rank(spark, monkeypatch):
+    from tallywise.operators import rows
+
+    keyed, chain = [], rows.order_chain
+    monkeypatch.setattr(rows, "order_chain", lambda df, *a: keyed.append(df.count()) or chain(df, *a))
+    df = spark.range(60_000).selectExpr(
+        "CAST(CASE WHEN id % 100 <> 0 THEN pmod(id * 7919, 20011) - 500 + 0.0000000001 * (id % 3) END AS DECIMAL(38, 10)) AS price",
+        "id || '/' AS line",
+    )
+    for direction in ("ASC", "DESC"):
+        got = {r.line for r in rows.top_k(df, "price", direction, 11_000, ["line"]).collect()}
+        sign = 1 if direction == "ASC" else -1
+        every = [(sign * r.price, r.line) for r in df.filter("price IS NOT NULL").collect()]
+        assert got == {line for _, line in sorted(every)[:11_000]}
+    assert max(keyed) < 11_010
+    assert rows.top_k(df, "price", "ASC", 59_500, ["line"]).count() == 59_500
