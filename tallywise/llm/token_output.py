@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..sources.workspace import ship_package
 from .buffers import slices, texts_of
-from .vocab import encoder, places
+from .vocab import LARGE_POOL, encoder, places
 
 # Ids per word and bits per id, by selector; selectors 0 and 1 are the escape and the run.
 COUNTS = np.array([1, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -74,8 +74,10 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     selector = _selectors(bits.reshape(-1, block)).reshape(-1)[:n]
     taken = COUNTS.astype(np.uint8)[selector]
     equal = np.concatenate([ids[1:] == ids[:-1], [False]])
-    if len(bounds := np.flatnonzero(~equal)) < n - LEAST_RUN:
-        last = np.repeat(bounds, np.diff(bounds, prepend=-1))
+    bounds = np.flatnonzero(~equal)
+    lengths = np.diff(bounds, prepend=-1)
+    if lengths.max() >= LEAST_RUN:
+        last = np.repeat(bounds, lengths)
         block_end = (np.arange(n) // block + 1) * block
         run = np.minimum(np.minimum(last + 1, block_end) - np.arange(n), 255)
         runs = (run >= LEAST_RUN) & (ids < np.uint64(1 << 32))
@@ -147,7 +149,7 @@ def write_ids(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, words = TaskContext.get().partitionId(), encoder(vocabulary)
+        shard, words = TaskContext.get().partitionId(), encoder(vocabulary, LARGE_POOL)
         number, before, ids, keys, lengths = 0, 0, [], [], []
 
         def segment() -> pa.RecordBatch:

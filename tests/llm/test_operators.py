@@ -1,10 +1,13 @@
 """Each operator against plain Python on the smallest tables, and on rows of every odd kind."""
 
+import itertools
 import json
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +22,9 @@ from tallywise.llm import (
     substring_dedup,
     token_output,
     toxicity,
+    vocab,
 )
+from tallywise.llm.buffers import texts_of
 from tallywise.llm.queries import QUERIES, vocabulary
 
 
@@ -131,6 +136,47 @@ def test_words_hold_what_was_packed(n, top):
         assert (token_output.unpack(words[word:]) == ids[k * token_output.BLOCK :]).all()
 
 
+class Spy:
+    """A tokenizer that notes the pieces sent through it."""
+
+    def __init__(self, real, sent):
+        self.real, self.sent = real, sent
+
+    def __getattr__(self, name):
+        return getattr(self.real, name)
+
+    @property
+    def model(self):
+        return SimpleNamespace(tokenize=lambda p: self.sent.append(p) or self.real.model.tokenize(p))
+
+    def encode_batch_fast(self, texts, **options):
+        self.sent += [p for text in texts for p in text.split("\n")]
+        return self.real.encode_batch_fast(texts, **options)
+
+
+def test_a_piece_goes_through_the_tokenizer_once(tokenizer):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pieces = ["".join(p) for p in itertools.islice(itertools.product(letters, repeat=4), 60_000)]
+    words, sent = vocab.WordEncoder(vocabulary()), []
+    for name in {"tokenizer", "lines"} & set(vars(words)):
+        setattr(words, name, Spy(getattr(words, name), sent))
+    # The same pieces as words of their own, in capitals and with signs around them: 180,000 words.
+    for text in (" ".join(pieces), " ".join(pieces).upper(), "(" + "), (".join(pieces) + ")"):
+        ids, counts = words.encode(texts_of(pa.array([text])))
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+    assert len(sent) == len(set(sent))
+
+
+def test_pieces_and_words_of_a_full_pool(tokenizer):
+    words = vocab.WordEncoder(vocabulary(), most=50)
+    words.ends[::2] = False  # a vocabulary whose tokens do not show where a piece ends
+    texts = [f"é{i}x Straße's don't, a_b#{i}% 日本{i} <|endoftext|>{i} plain{i}" for i in range(300)]
+    for k in range(0, 300, 20):
+        ids, counts = words.encode(texts_of(pa.array(texts[k : k + 20])))
+        expect = [e.ids for e in tokenizer.encode_batch(texts[k : k + 20], add_special_tokens=False)]
+        assert ids.tolist() == [i for e in expect for i in e] and counts.tolist() == [len(e) for e in expect]
+
+
 # 4: mixing
 
 
